@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quillgraph.llm import op10_token_output as op10
 from quillgraph.llm import op6_ngram_jaccard as op6
 from quillgraph.llm import op9_suffix_dedup as op9
 
 QUERIES = {
     "op6_ngram_jaccard": op6.query,
     "op9_suffix_dedup": op9.query,
+    "op10_token_output": op10.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
