@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from quillgraph.llm import op10_token_output as op10
+from quillgraph.llm import op3_block_naming as op3
 from quillgraph.llm import op6_ngram_jaccard as op6
+from quillgraph.llm import op7_language_id as op7
 from quillgraph.llm import op9_suffix_dedup as op9
 
 QUERIES = {
+    "op3_block_naming": op3.query,
     "op6_ngram_jaccard": op6.query,
+    "op7_language_id": op7.query,
     "op9_suffix_dedup": op9.query,
     "op10_token_output": op10.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_block_naming": op3.SQL,
+}
