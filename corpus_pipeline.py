@@ -1,11 +1,24 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: each stage's rows are written as Parquet and reread as the next one's documents.
+
+Stages take (spark, docs, sf_dir), work on all rows that the one before kept, and return the columns of
+``docs``; the last one returns the index of the token files it has written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import common
+from quillgraph.llm import op2_target_mixing as op2
 from quillgraph.llm import op6_ngram_jaccard as op6
+from quillgraph.llm import op7_language_id as op7
+from quillgraph.llm import op8_decontamination as op8
+from quillgraph.llm import op10_token_output as op10
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    return op7.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +26,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return op6.keep_one(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return op8.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix to target weights takes stay."""
+    return op2.take(docs, common.table(spark, sf_dir, "labels"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in order of doc_id; returns what reading them back gives for each document."""
+    return op10.tokens(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixing),
+    ("token output", token_output),
+]
 
-#: SQL can't express these stages; tests hold them against brute force.
+#: SQL can't express these stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 

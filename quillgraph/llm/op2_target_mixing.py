@@ -1,13 +1,16 @@
 """Mixing to target weights with soft domain membership.
 
 1. Domains come from the labelled table: `toxic` (toxic 1), `low` (quality 0) and `clean`. A naive Bayes model on
-   the presence of hashed words, fitted on a bounded sample of labelled rows (the SAMPLE first by a hash
-   of doc_id), gives each document posteriors p over the domains.
+   the presence of hashed words and word endings, fitted on a bounded sample of labelled rows (the SAMPLE first
+   by a hash of doc_id), gives each document posteriors p over the domains. Features whose counts differ
+   between domains by less than CHI_SQUARE are left out.
 2. A document of n words with rate r counts r * n * p_k words towards domain k. Rates r >= 0 are fitted
    by projected gradient descent on the squared differences between the domains' totals and their targets.
-   Rates start at 1. A step moves r along n * (p . L), where the few numbers L are the differences
-   scaled by the inverse of the matrix of sums of n * n * p_j * p_k over documents with r > 0. So the
-   state after t steps is t vectors L, each iteration is one aggregation, and no rate is ever collected.
+   Rates start at 1. The gradient for a document is n * (p . differences); it is scaled by 1 / n (so that the step
+   doesn't depend on a document's length) and, for all at once, by the inverse of the matrix of sums of
+   n * p_j * p_k over documents that can still move. So a step is r - p . L for a few numbers L, cut
+   off at 0; the state after t steps is t vectors L, each iteration is one aggregation, and no rate is
+   ever collected.
 3. The targets are weights of the domains for a corpus in which `clean` keeps all the words it has. A
    document is taken floor(r) times, and once more if what is left over r exceeds a bound that its
    doc_id draws from (0.25, 0.75): rates close to a whole number aren't left to chance.
@@ -27,19 +30,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm import common
-from quillgraph.llm.kernels import Words, map_rows, slices
+from quillgraph.llm.kernels import LOWER, SLOT, Words, map_rows, mix as spread, prefix_hash, slices, substring
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 SAMPLE = 6000
 BITS = 18
 LEAST_DOCUMENTS = 4
+CHI_SQUARE = 40
+ENDING = 3
 STEPS = 30
 TOLERANCE = 1e-6
 
 
-def _features(words: Words, row: int) -> np.ndarray:
-    return np.unique(words.hash[words.at[row] : words.at[row + 1]] >> np.uint64(64 - BITS)).astype(np.int64)
+def _features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The distinct features of each row: its words and the last ENDING bytes of each."""
+    words = Words(data, at)
+    endings = spread(substring(prefix_hash(LOWER[data]), np.maximum(words.start, words.end - ENDING), words.end) + SLOT[5])
+    both = np.stack([words.hash, endings], 1) >> np.uint64(64 - BITS)
+    return [np.unique(both[words.at[i] : words.at[i + 1]]).astype(np.int64) for i in range(len(at) - 1)]
 
 
 def _presence(batches):
@@ -47,8 +56,7 @@ def _presence(batches):
         own = batch.column(batch.schema.get_field_index("domain")).to_numpy()
         at_row = 0
         for part, data, at in slices(batch):
-            words = Words(data, at)
-            found = [_features(words, i) for i in range(part.num_rows)]
+            found = _features(data, at)
             n = [len(x) for x in found]
             domain = np.repeat(own[at_row : at_row + part.num_rows], n)
             at_row += part.num_rows
@@ -73,7 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     n = np.array([sizes.get(k, 0) for k in range(len(DOMAINS))], float)
     rate = (count + 0.5) / (n + 1)
     table = np.log(rate) - np.log(rate.mean(1, keepdims=True))
-    table[count.sum(1) < LEAST_DOCUMENTS] = 0
+    expected = np.maximum(count.sum(1, keepdims=True) * n / n.sum(), 1e-9)
+    differs = ((count - expected) ** 2 / expected).sum(1)
+    table[(count.sum(1) < LEAST_DOCUMENTS) | (differs < CHI_SQUARE)] = 0
     prior = np.where(n > 0, np.log(np.maximum(n, 1) / n.sum()), -1e9)
     table[:, n == 0] = 0
     return np.vstack([table, prior]).astype(np.float32)
@@ -88,8 +98,8 @@ def posteriors(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
         logit = np.zeros((part.num_rows, len(DOMAINS)))
         if model is not None:
             logit += model[-1]
-            for i in range(part.num_rows):
-                logit[i] += model[_features(words, i)].sum(0)
+            for i, features in enumerate(_features(data, at)):
+                logit[i] += model[features].sum(0)
         p = np.exp(logit - logit.max(1, keepdims=True)) if part.num_rows else logit
         p /= p.sum(1, keepdims=True)
         return [size, *(np.round(p[:, k], 9) for k in range(len(DOMAINS)))]
@@ -97,12 +107,14 @@ def posteriors(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
     return map_rows(docs, [("__words", T.LongType()), *((f"__p_{d}", T.DoubleType()) for d in DOMAINS)], work)
 
 
-def _rate(steps: list[np.ndarray], scale: float) -> Column:
-    size = F.col("__words") / F.lit(scale)
+def _along(step: np.ndarray) -> Column:
+    return sum((F.col(f"__p_{d}") * F.lit(float(x)) for d, x in zip(DOMAINS, step, strict=True)), F.lit(0.0))
+
+
+def _rate(steps: list[np.ndarray]) -> Column:
     rate = F.lit(1.0)
     for step in steps:
-        along = sum((F.col(f"__p_{d}") * F.lit(float(x)) for d, x in zip(DOMAINS, step, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - size * along)
+        rate = F.greatest(F.lit(0.0), rate - _along(step))
     return rate
 
 
@@ -120,8 +132,8 @@ def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> tupl
     size = F.col("__words") / F.lit(scale)
     k = len(DOMAINS)
     while True:
-        rated = small.withColumn("r", _rate(steps, scale))
-        move = F.when(F.col("r") > 0, size * size).otherwise(0.0)
+        rated = small.withColumn("r", _rate(steps))
+        move = F.when(F.col("r") > 0, size).otherwise(0.0)
         sums = rated.agg(
             *[F.sum(F.col("r") * size * F.col(f"__p_{d}")).alias(f"t{i}") for i, d in enumerate(DOMAINS)],
             *[F.sum(move * F.col(f"__p_{DOMAINS[i]}") * F.col(f"__p_{DOMAINS[j]}")).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)],
@@ -140,7 +152,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     steps, scale, _ = fit_rates(found, targets)
     left = F.col("__rate") - F.floor("__rate")
     bound = F.lit(0.25) + F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1_000_000)) / 2_000_000.0
-    rated = found.withColumn("__rate", F.round(F.when(F.col("__words") == 0, F.lit(1.0)).otherwise(_rate(steps, scale)), 6))
+    rated = found.withColumn("__rate", F.round(F.when(F.col("__words") == 0, F.lit(1.0)).otherwise(_rate(steps)), 6))
     return rated.withColumn("__copies", (F.floor("__rate") + F.when(left > bound, 1).otherwise(0)).cast("long"))
 
 
