@@ -33,7 +33,7 @@ from quillgraph.llm.kernels import slices
 
 END_ID = 2
 #: Text tokenized at once, and text whose blocks are coded in step.
-TOKENIZE_BYTES, CODE_BYTES = 1 << 20, 6 << 20
+TOKENIZE_BYTES, CODE_BYTES = 1 << 19, 6 << 20
 PART_BYTES = 64 << 20
 
 _ROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("ids", pa.int64()), ("block", pa.binary())])

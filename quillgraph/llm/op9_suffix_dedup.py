@@ -40,7 +40,7 @@ from quillgraph.llm.kernels import SLOT, mix, prefix_hash, slices, substring
 LENGTH = 400
 GRAM = 24
 WINDOW = 128
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 #: Pieces, or strings, that a bucket holds on average.
 BUCKET_ENTRIES = 2_000_000
 _PLACE = np.uint64((1 << 31) - 1)
