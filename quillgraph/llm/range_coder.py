@@ -7,9 +7,11 @@ The model mixes three predictions into one distribution for each id:
   order 0: counts of all ranks so far, each at least 1, in total t;
   order 1: the rank that followed the same rank last time;
   order 2: the rank that followed the same two ranks last time (by a hash of them).
-A prediction of order 1 or 2 adds the mass t * hits // (misses + 1) to its rank, where hits and misses tell
-how predictions of that order and of as long a row of successes have fared in the block so far. So weights
-adapt at each id, and only integers are used. A mass is at most LIMIT.
+A prediction of order 1 or 2 adds the mass t * hits // misses to its rank, where hits and misses tell how
+predictions of that order and of as long a row of successes have fared in the block so far (misses start
+at 1). So weights adapt at each id, and only integers are used. A mass is at most LIMIT. The two masses
+stand before the counts of order 0, and a rank is coded in the first of its intervals, which spares
+the decoder from merging them.
 
 Many blocks are coded in step, one NumPy lane each, for the work at each id is sequential. The coder is a
 carry-less range coder of 64 bits that puts out 16 bits at a time.
@@ -34,97 +36,87 @@ _U = np.uint64
 
 
 class _Model:
-    """The adaptive state of as many blocks as there are lanes."""
+    """The adaptive state of as many blocks as there are lanes, longest block first; tables are flat."""
 
     def __init__(self, alphabet: np.ndarray):
-        self.n = len(alphabet)
+        n = len(alphabet)
         self.groups = int(-(-int(alphabet.max(initial=1)) // GROUP))
-        width = self.groups * GROUP
-        self.lane = np.arange(self.n)
-        self.count = (np.arange(width)[None, :] < alphabet[:, None]).astype(np.int32)
-        by_group = self.count.reshape(self.n, self.groups, GROUP).sum(2)
-        #: Counts in all groups before each one.
-        self.before = (np.cumsum(by_group, 1) - by_group).astype(np.int32)
+        self.width = self.groups * GROUP
+        count = (np.arange(self.width)[None, :] < alphabet[:, None]).astype(np.int32)
+        by_group = count.reshape(n, self.groups, GROUP).sum(2, dtype=np.int32)
+        #: Counts of order 0 by group, and the counts in all groups before each one.
+        self.count = count.reshape(n * self.groups, GROUP)
+        self.before = np.cumsum(by_group, 1, dtype=np.int32) - by_group
         self.total = alphabet.astype(np.int64)
-        self.one = np.full((self.n, width), -1, np.int16)
-        self.two = np.full((self.n, 1 << HASH_BITS), -1, np.int16)
-        self.one_run = np.zeros((self.n, width), np.int8)
-        self.two_run = np.zeros((self.n, 1 << HASH_BITS), np.int8)
-        self.hits = np.zeros((2, self.n, 4), np.int64)
-        self.misses = np.ones((2, self.n, 4), np.int64)
-        self.last = np.zeros(self.n, np.int64)
-        self.prior = np.zeros(self.n, np.int64)
-        self.inside = np.arange(GROUP)[None, :]
-        self.flat = self.count.reshape(-1)
-
-    def predict(self) -> None:
-        lane = self.lane
-        self.slot = ((self.prior * 40503 + self.last * 9973) >> 2) & ((1 << HASH_BITS) - 1)
-        self.guess = (self.one[lane, self.last].astype(np.int64), self.two[lane, self.slot].astype(np.int64))
-        self.run = (self.one_run[lane, self.last].astype(np.int64), self.two_run[lane, self.slot].astype(np.int64))
-        self.mass = []
-        for k in (0, 1):
-            mass = self.total * self.hits[k, lane, self.run[k]] // self.misses[k, lane, self.run[k]]
-            self.mass.append(np.where(self.guess[k] >= 0, np.minimum(mass, LIMIT), 0))
-        self.whole = self.total + self.mass[0] + self.mass[1]
-
-    def below(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order-0 counts below ``rank`` and at it."""
-        group, place = rank // GROUP, rank % GROUP
-        rows = self.count.reshape(self.n, self.groups, GROUP)[self.lane, group]
-        under = self.before[self.lane, group] + (rows * (self.inside < place[:, None])).sum(1)
-        return under, rows[self.lane, place]
+        self.tables = (np.full(n * self.width, -1, np.int16), np.full(n << HASH_BITS, -1, np.int16))
+        self.runs = (np.zeros(n * self.width, np.int8), np.zeros(n << HASH_BITS, np.int8))
+        self.hits, self.misses = np.zeros((2, 4 * n), np.int64), np.ones((2, 4 * n), np.int64)
+        self.last, self.prior = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lane = np.arange(n)
+        self.at_width, self.at_hash, self.at_group, self.at_run = lane * self.width, lane << HASH_BITS, lane * self.groups, lane * 4
+        self.lane, self.inside, self.beside = lane, np.arange(GROUP)[None, :], np.arange(self.groups)[None, :]
+
+    def predict(self, n: int) -> None:
+        """Guesses and masses for the first ``n`` lanes."""
+        last = self.last[:n]
+        slot = ((self.prior[:n] * 40503 + last * 9973) >> 2) & ((1 << HASH_BITS) - 1)
+        self.place = (self.at_width[:n] + last, self.at_hash[:n] + slot)
+        self.guess, self.run, self.mass = [], [], []
+        for k in (1, 0):
+            guess = self.tables[k][self.place[k]]
+            run = self.at_run[:n] + self.runs[k][self.place[k]]
+            mass = np.minimum(self.total[:n] * self.hits[k][run] // self.misses[k][run], LIMIT)
+            self.guess.append(guess)
+            self.run.append(run)
+            self.mass.append(np.where(guess >= 0, mass, 0))
+        self.both = self.mass[0] + self.mass[1]
+        same = self.guess[0] == self.guess[1]
+        self.mass = [np.where(same, self.both, self.mass[0]), np.where(same, 0, self.mass[1])]
+        self.whole = self.total[:n] + self.both
 
     def interval(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, width = self.below(rank)
-        for guess, mass in zip(self.guess, self.mass, strict=True):
-            start = start + np.where(guess < rank, mass, 0)
-            width = width + np.where(guess == rank, mass, 0)
+        n = len(rank)
+        group = rank // GROUP
+        rows = self.count[self.at_group[:n] + group]
+        place = rank - group * GROUP
+        start = self.both + self.before[self.lane[:n], group] + (rows * (self.inside < place[:, None])).sum(1)
+        width = rows[self.lane[:n], place].astype(np.int64)
+        for k in (1, 0):
+            own = (self.guess[k] == rank) & (self.mass[k] > 0)
+            start = np.where(own, self.mass[0] if k else 0, start)
+            width = np.where(own, self.mass[k], width)
         return start, width
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The rank whose interval holds ``value``."""
-        swap = self.guess[0] > self.guess[1]
-        g = [np.where(swap, self.guess[1], self.guess[0]), np.where(swap, self.guess[0], self.guess[1])]
-        m = [np.where(swap, self.mass[1], self.mass[0]), np.where(swap, self.mass[0], self.mass[1])]
-        rank = np.full(self.n, -1)
-        gone = np.zeros(self.n, np.int64)
-        for k in (0, 1):
-            under, own = self.below(np.maximum(g[k], 0))
-            start = under + gone
-            width = own + m[k] + (np.where(g[0] == g[1], m[1], 0) if k == 0 else 0)
-            some = (g[k] >= 0) & (rank < 0)
-            if k == 1:
-                some &= g[0] != g[1]
-                # The smaller guess has been passed: its mass lies below.
-            rank = np.where(some & (value >= start) & (value < start + width), g[k], rank)
-            gone = gone + np.where((g[k] >= 0) & (value >= start + width), m[k], 0)
-            if k == 0:
-                both = (g[0] >= 0) & (g[0] == g[1]) & (value >= start + width)
-                gone = gone + np.where(both, m[1], 0)
-                m[1] = np.where(g[0] == g[1], 0, m[1])
-        rest = value - gone
-        group = (self.before <= rest[:, None]).sum(1) - 1
-        rows = self.count.reshape(self.n, self.groups, GROUP)[self.lane, group]
-        place = (np.cumsum(rows, 1) <= (rest - self.before[self.lane, group])[:, None]).sum(1)
-        return np.where(rank >= 0, rank, group * GROUP + np.minimum(place, GROUP - 1))
-
-    def learn(self, rank: np.ndarray, live: np.ndarray) -> None:
-        """Take in the ids of the lanes in ``live``; the other lanes have ended."""
-        lane, rank = self.lane[live], rank[live]
-        for k, table, runs, at in ((0, self.one, self.one_run, self.last[live]), (1, self.two, self.two_run, self.slot[live])):
-            guess, run = self.guess[k][live], self.run[k][live]
-            right = guess == rank
-            tried = guess >= 0
-            self.hits[k, lane, run] += tried & right
-            self.misses[k, lane, run] += tried & ~right
-            table[lane, at] = rank
-            runs[lane, at] = np.where(right, np.minimum(run + 1, 3), 0)
-        self.count[lane, rank] += STEP
-        self.before[live] += (np.arange(self.groups)[None, :] > (rank // GROUP)[:, None]) * np.int32(STEP)
-        self.total[live] += STEP
-        self.prior[live] = self.last[live]
-        self.last[live] = rank
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rank whose interval holds ``value``, and that interval."""
+        n = len(value)
+        rest = np.maximum(value - self.both, 0)
+        group = (self.before[:n] <= rest[:, None]).sum(1) - 1
+        inner = np.cumsum(self.count[self.at_group[:n] + group], 1)
+        base = self.before[self.lane[:n], group]
+        place = np.minimum((inner <= (rest - base)[:, None]).sum(1), GROUP - 1)
+        ends = inner[self.lane[:n], place]
+        begins = np.where(place > 0, inner[self.lane[:n], np.maximum(place - 1, 0)], 0)
+        first, second = value < self.mass[0], value < self.both
+        rank = np.where(first, self.guess[0], np.where(second, self.guess[1], group * GROUP + place)).astype(np.int64)
+        start = np.where(first, 0, np.where(second, self.mass[0], self.both + base + begins))
+        width = np.where(first, self.mass[0], np.where(second, self.mass[1], ends - begins))
+        return rank, start, width
+
+    def learn(self, rank: np.ndarray) -> None:
+        n = len(rank)
+        for guess, run, k in zip(self.guess, self.run, (1, 0), strict=True):
+            right, known = guess == rank, guess >= 0
+            self.hits[k][run] += right & known
+            self.misses[k][run] += known & ~right
+            self.tables[k][self.place[k]] = rank
+            self.runs[k][self.place[k]] = np.where(right, np.minimum(run - self.at_run[:n] + 1, 3), 0)
+        group = rank // GROUP
+        self.count[self.at_group[:n] + group, rank - group * GROUP] += STEP
+        self.before[:n] += (self.beside > group[:, None]) * np.int32(STEP)
+        self.total[:n] += STEP
+        self.prior[:n] = self.last[:n]
+        self.last[:n] = rank
 
 
 def _settle(low, span):
@@ -138,41 +130,37 @@ def _settle(low, span):
 def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, bytes]]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     size = np.array([len(blocks[i]) for i in order])
-    alphabets, ranks = [], np.zeros((len(blocks), int(size.max(initial=0))), np.int64)
+    steps = int(size.max(initial=0))
+    alphabets, ranks = [], np.zeros((steps, len(blocks)), np.int64)
     for lane, i in enumerate(order):
-        alphabet, ranks[lane, : size[lane]] = np.unique(blocks[i], return_inverse=True)
+        alphabet, ranks[: size[lane], lane] = np.unique(blocks[i], return_inverse=True)
         alphabets.append(alphabet)
     model = _Model(np.array([len(a) for a in alphabets]))
-    low, span = np.zeros(model.n, np.uint64), np.full(model.n, ~_U(0))
-    words, used = np.zeros((model.n, ranks.shape[1] * 4 + 8), ">u2"), np.zeros(model.n, np.int64)
-
-    def put(which, low):
-        words[which, used[which]] = (low[which] >> _U(48)).astype(np.uint16)
-        used[which] += 1
-
-    for t in range(ranks.shape[1]):
-        live = slice(0, int(np.searchsorted(-size, -t, "left")))
-        model.predict()
-        start, width = model.interval(ranks[:, t])
-        unit = span // model.whole.astype(np.uint64)
-        on = np.zeros(model.n, bool)
-        on[live] = True
-        low = np.where(on, low + unit * start.astype(np.uint64), low)
-        span = np.where(on, unit * width.astype(np.uint64), span)
+    low, span = np.zeros(len(blocks), np.uint64), np.full(len(blocks), ~_U(0))
+    words, used = np.zeros((len(blocks), 4 * steps + 8), ">u2"), np.zeros(len(blocks), np.int64)
+    for t in range(steps):
+        n = int(np.searchsorted(-size, -t, "left"))
+        model.predict(n)
+        rank = ranks[t, :n]
+        start, width = model.interval(rank)
+        unit = span[:n] // model.whole.astype(np.uint64)
+        low[:n] += unit * start.astype(np.uint64)
+        span[:n] = unit * width.astype(np.uint64)
         while True:
-            out, cut = _settle(low, span)
-            out &= on
-            if not out.any():
-                break
+            out, cut = _settle(low[:n], span[:n])
             which = np.flatnonzero(out)
-            put(which, low)
+            if not len(which):
+                break
+            words[which, used[which]] = (low[which] >> _U(48)).astype(np.uint16)
+            used[which] += 1
             low[which] <<= _U(16)
             span[which] = cut[which] << _U(16)
-        model.learn(ranks[:, t], live)
-    every = np.arange(model.n)
+        model.learn(rank)
+    every = np.arange(len(blocks))
     for _ in range(4):
-        put(every, low)
-        low = low << _U(16)
+        words[every, used] = (low >> _U(48)).astype(np.uint16)
+        used += 1
+        low <<= _U(16)
     done: list = [None] * len(blocks)
     for lane, i in enumerate(order):
         done[i] = (alphabets[lane], words[lane, : used[lane]].tobytes())
@@ -182,42 +170,39 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, bytes]]:
 def _decode_lanes(blocks: list[tuple[int, np.ndarray, bytes]]) -> list[np.ndarray]:
     order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     size = np.array([blocks[i][0] for i in order])
-    words = np.zeros((len(blocks), max(len(blocks[i][2]) // 2 for i in order) + 8), np.uint64)
+    steps = int(size.max(initial=0))
+    words = np.zeros((len(blocks), max((len(blocks[i][2]) // 2 for i in order), default=0) + 8), np.uint16)
     for lane, i in enumerate(order):
         raw = np.frombuffer(blocks[i][2], ">u2")
         words[lane, : len(raw)] = raw
     model = _Model(np.array([len(blocks[i][1]) for i in order]))
-    low, span, code = np.zeros(model.n, np.uint64), np.full(model.n, ~_U(0)), np.zeros(model.n, np.uint64)
+    low, span, code = np.zeros(len(blocks), np.uint64), np.full(len(blocks), ~_U(0)), np.zeros(len(blocks), np.uint64)
     for k in range(4):
         code = (code << _U(16)) | words[:, k]
-    used = np.full(model.n, 4)
-    ranks = np.zeros((model.n, int(size.max(initial=0))), np.int64)
-    for t in range(ranks.shape[1]):
-        live = slice(0, int(np.searchsorted(-size, -t, "left")))
-        on = np.zeros(model.n, bool)
-        on[live] = True
-        model.predict()
-        unit = span // model.whole.astype(np.uint64)
-        value = np.minimum(((code - low) // unit).astype(np.int64), model.whole - 1)
-        rank = model.find(np.where(on, value, 0))
-        start, width = model.interval(rank)
-        low = np.where(on, low + unit * start.astype(np.uint64), low)
-        span = np.where(on, unit * width.astype(np.uint64), span)
+    used, end = np.full(len(blocks), 4), words.shape[1] - 1
+    ranks = np.zeros((steps, len(blocks)), np.int64)
+    for t in range(steps):
+        n = int(np.searchsorted(-size, -t, "left"))
+        model.predict(n)
+        unit = span[:n] // model.whole.astype(np.uint64)
+        value = np.minimum(((code[:n] - low[:n]) // unit).astype(np.int64), model.whole - 1)
+        rank, start, width = model.find(value)
+        low[:n] += unit * start.astype(np.uint64)
+        span[:n] = unit * width.astype(np.uint64)
         while True:
-            out, cut = _settle(low, span)
-            out &= on
-            if not out.any():
-                break
+            out, cut = _settle(low[:n], span[:n])
             which = np.flatnonzero(out)
-            code[which] = (code[which] << _U(16)) | words[which, np.minimum(used[which], words.shape[1] - 1)]
+            if not len(which):
+                break
+            code[which] = (code[which] << _U(16)) | words[which, np.minimum(used[which], end)]
             used[which] += 1
             low[which] <<= _U(16)
             span[which] = cut[which] << _U(16)
-        ranks[:, t] = rank
-        model.learn(rank, live)
+        ranks[t, :n] = rank
+        model.learn(rank)
     done: list = [None] * len(blocks)
     for lane, i in enumerate(order):
-        done[i] = blocks[i][1][ranks[lane, : size[lane]]].astype(np.uint32)
+        done[i] = blocks[i][1][ranks[: size[lane], lane]].astype(np.uint32)
     return done
 
 
