@@ -75,7 +75,9 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, hashed=F.xxhash6
 def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): the least doc_id of each group stays."""
     done, sha = identities(docs, block_chars)
-    groups = done.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    done = common.cut(done)
+    # Written out, so that the join is one of plain exchanges, whose large keys can be split.
+    groups = common.cut(done.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return (
         done.join(groups, ["level", "name"])
         .join(sha, "doc_id")
