@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,5 +80,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def first_by_hash(rows: DataFrame, group: str, key: str, n: int, salts: int = 64) -> DataFrame:
+    """The ``n`` rows of each group whose key's hash comes first.
+
+    Parts of each group are cut to ``n`` rows first, so the last step gets ``salts`` times ``n`` rows of a group at most.
+    """
+    h = F.xxhash64(key)
+    for parts in ([group, F.pmod(h, F.lit(salts))], [group]):
+        turn = F.row_number().over(Window.partitionBy(*parts).orderBy(h, key))
+        rows = rows.withColumn("__turn", turn).filter(F.col("__turn") <= n).drop("__turn")
+    return rows
+
+
 def sha256_text(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)

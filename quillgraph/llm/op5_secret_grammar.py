@@ -23,7 +23,7 @@ from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,8 +165,7 @@ class Automaton:
 def learn(found: DataFrame) -> tuple[list[Automaton], Automaton | None]:
     """Automata of the labelled kinds and of other tokens, from at most SAMPLE values of each."""
     values = found.select(F.explode(F.concat("spans", "tokens")).alias("s")).select("s.kind", "s.value").filter("kind <> 'format' or not value rlike '[0-9]'").distinct()
-    first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    sample = values.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= SAMPLE).select("kind", "value").collect()
+    sample = common.first_by_hash(values, "kind", "value", SAMPLE).select("kind", "value").collect()  # SAMPLE rows a kind at most
     words: dict[str, list[str]] = defaultdict(list)
     for r in sample:
         words[r["kind"]].append(r["value"])

@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,8 +95,7 @@ def held_out():
 def fit(docs: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """(idf, language of each centroid, centroids, largest distance of each)."""
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id")
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("turn", F.row_number().over(by_hash)).filter(F.col("turn") <= SAMPLE_PER_LANGUAGE).select("doc_id", "lang")
+    chosen = common.first_by_hash(usable.select("doc_id", "lang").distinct(), "lang", "doc_id", SAMPLE_PER_LANGUAGE)
     # At most SAMPLE_PER_LANGUAGE ids for each language.
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     sample = common.cut(sample)
