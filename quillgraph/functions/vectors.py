@@ -29,10 +29,15 @@ def cosine(a, b) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it (lambdas aren't searched for repeats)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def l2_normalize(v) -> Column:
     """Scaled to length one; unchanged when shorter than 1e-12."""
-    length = norm(v)
-    return F.when(length < 1e-12, as_doubles(v)).otherwise(F.transform(as_doubles(v), lambda x: x / length))
+    measured = bound(as_doubles(v), lambda u: F.struct(u.alias("v"), norm(u).alias("n")))
+    return bound(measured, lambda s: F.when(s["n"] < 1e-12, s["v"]).otherwise(F.transform(s["v"], lambda x: x / s["n"])))
 
 
 def truncate_normalize(v, dim: int) -> Column:
@@ -45,9 +50,13 @@ def zeros(dim: int) -> Column:
 
 def mean_pool(vectors, dim: int) -> Column:
     """Mean of an array of vectors: zeros for none."""
-    own = _col(vectors)
-    total = F.aggregate(own, zeros(dim), lambda s, v: F.zip_with(s, as_doubles(v), lambda x, y: x + y))
-    return F.when(own.isNull() | (F.size(own) == 0), zeros(dim)).otherwise(F.transform(total, lambda x: x / F.size(own)))
+
+    def mean(own):
+        total = F.aggregate(own, zeros(dim), lambda s, v: F.zip_with(s, as_doubles(v), lambda x, y: x + y))
+        summed = bound(total, lambda t: F.struct(t.alias("t"), F.size(own).alias("n")))
+        return F.when(own.isNull() | (F.size(own) == 0), zeros(dim)).otherwise(bound(summed, lambda s: F.transform(s["t"], lambda x: x / s["n"])))
+
+    return bound(_col(vectors), mean)
 
 
 def hybrid(text, structural, translational, text_dim: int, part_dim: int) -> Column:

@@ -101,8 +101,9 @@ def vec_pairwise_similar(t):
 
 @query(f"WITH {LEXEMES}, {ASKED} SELECT q.query_id, p.chunk_id, CAST(sum(p.n) AS BIGINT) AS hits FROM p JOIN q ON p.lexeme = q.lexeme JOIN k ON q.query_id = k.query_id GROUP BY q.query_id, p.chunk_id, k.wanted HAVING count(*) = k.wanted")
 def lex_and_match(t):
-    index = retrieval.postings(t("documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.match_all(index, retrieval.query_lexemes(_texts(t))).select("query_id", "chunk_id", "hits")
+    asked = retrieval.query_lexemes(_texts(t))
+    index = retrieval.postings(t("documents"), "doc_id", "text", only=asked).withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.match_all(index, asked).select("query_id", "chunk_id", "hits")
 
 
 @query(f"""WITH {LEXEMES}, {ASKED}, l AS (SELECT chunk_id, sum(n) AS length FROM p GROUP BY chunk_id), w AS (SELECT count(*) AS chunks, avg(length) AS mean FROM l), d AS (SELECT lexeme, count(*) AS df FROM p GROUP BY lexeme)
@@ -121,8 +122,9 @@ def postings_stats(t):
 @query()
 def lex_cover_density(t):
     english = t("documents").filter("lang = 'en'")
-    index = retrieval.postings(english, "doc_id", "text", english=True).withColumnRenamed("doc_id", "chunk_id")
-    found = retrieval.match_all(index, retrieval.query_lexemes(_texts(t), english=True)).withColumn("score", retrieval.density())
+    asked = retrieval.query_lexemes(_texts(t), english=True)
+    index = retrieval.postings(english, "doc_id", "text", english=True, only=asked).withColumnRenamed("doc_id", "chunk_id")
+    found = retrieval.match_all(index, asked).withColumn("score", retrieval.density())
     return retrieval.ranked(found, 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -136,8 +138,9 @@ f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min(list * 100
 
 def _lists(t):
     by_vector = retrieval.nearest(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _asked(t), 20)
-    index = retrieval.postings(t("documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    by_text = retrieval.ranked(retrieval.match_all(index, retrieval.query_lexemes(_texts(t))).withColumn("score", F.col("hits").cast("double")), 20)
+    asked = retrieval.query_lexemes(_texts(t))
+    index = retrieval.postings(t("documents"), "doc_id", "text", only=asked).withColumnRenamed("doc_id", "chunk_id")
+    by_text = retrieval.ranked(retrieval.match_all(index, asked).withColumn("score", F.col("hits").cast("double")), 20)
     return by_vector, by_text
 
 
