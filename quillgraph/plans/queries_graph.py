@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from quillgraph.config import EngineConfig
-from quillgraph.operators import community, entity_dedup, graph, graph_learning, retrieval
+from quillgraph.operators import community, entity_dedup, graph, graph_learning
 from quillgraph.plans.registry import query
 
 
