@@ -1,7 +1,6 @@
 import re
 
 import numpy as np
-import pytest
 
 from quillgraph.llm import op8_decontamination as op
 
