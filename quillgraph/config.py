@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -54,5 +54,17 @@ class EngineConfig:
     margin: float = 1.0
     seed: int = 42
 
+    @classmethod
+    def from_session(cls, spark) -> EngineConfig:
+        """The defaults with what the session sets as ``quillgraph.<name>``; lists are comma-separated."""
+        own = cls()
+        for f in fields(cls):
+            value = spark.conf.get(f"quillgraph.{f.name}", None)
+            if value is not None:
+                default = getattr(own, f.name)
+                kind = type(default[0]) if isinstance(default, tuple) else type(default)
+                own = replace(own, **{f.name: tuple(map(kind, value.split(","))) if isinstance(default, tuple) else kind(value)})
+        return own
+
 
 DEFAULT = EngineConfig()

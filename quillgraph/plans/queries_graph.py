@@ -39,7 +39,7 @@ EDGES = """g AS (SELECT c_name AS src, 'Customer' AS st, n_name AS dst, 'Nation'
  UNION ALL SELECT s_name, 'Supplier', n_name, 'Nation', 'LOCATED_IN', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
  UNION ALL SELECT n_name, 'Nation', r_name, 'Region', 'PART_OF', 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 BOTH = "b AS (SELECT src AS a, st AS at, dst AS z, dt AS zt, rel FROM g UNION ALL SELECT dst, dt, src, st, rel FROM g)"
-SEEDS = "s AS (SELECT 1 AS query_id, upper(s_name) AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 2, lower(r_name), r_regionkey FROM region)"
+SEEDS = "s AS (SELECT CAST(1 AS BIGINT) AS query_id, upper(s_name) AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 2, lower(r_name), r_regionkey FROM region)"
 PATHS = f"""{ENTITIES}, {EDGES}, {BOTH}, {SEEDS}, l AS (SELECT * FROM e WHERE status = 'active'),
 st AS (SELECT s.query_id, l.name, l.type FROM s JOIN l ON lower(l.name) = lower(s.name)),
 o AS (SELECT st.query_id, st.name AS seed, st.type AS stype, b.z, b.zt, 1.0 AS w, b.rel AS rels FROM st JOIN b ON b.a = st.name AND b.at = st.type

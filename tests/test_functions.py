@@ -121,3 +121,14 @@ def test_html():
     html = "<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><h1>Top &amp; more</h1><p>One <b>two</b>.</p><ul><li>a</li><li>b</li></ul><table><tr><th>x</th><th>y</th></tr><tr><td>1</td><td>2</td></tr></table><pre>code\n  more</pre><script>x</script></body></html>"
     assert page_markdown(html) == "# Top & more\n\nOne two.\n\n- a\n\n- b\n\n| x | y |\n|---|---|\n| 1 | 2 |\n\n```\ncode\n  more\n```"
     assert DEFAULT.rrf_k == 60
+
+
+def test_settings_from_the_session(spark):
+    spark.conf.set("quillgraph.rrf_k", "10")
+    spark.conf.set("quillgraph.excluded_types", "INDEX,LIST")
+    try:
+        own = EngineConfig.from_session(spark)
+        assert own.rrf_k == 10 and own.excluded_types == ("INDEX", "LIST") and own.margin == 1.0
+    finally:
+        spark.conf.unset("quillgraph.rrf_k")
+        spark.conf.unset("quillgraph.excluded_types")
