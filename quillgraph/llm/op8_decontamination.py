@@ -3,9 +3,11 @@
 Two passes over the texts, one block of benchmark items at a time (BLOCK_ITEMS of them, so what is
 broadcast has a bound):
 1. the document frequency, over all documents, of every SEED_WORDS-gram of the items;
-2. seeds are each item's rarest grams (RARE_SHARE of them, and all ties with the last), so an item whose
-   every gram is frequent, being leaked often, keeps its seeds. Places of a document with SEEDS
-   seeds of one item, or as many as the item has, are aligned with the item, word by word.
+2. seeds are each item's rarest grams among those that occur (RARE_SHARE of them, and all ties with the last), so
+   an item whose every gram is frequent, being leaked often, keeps its seeds. Places of a document with
+   SEEDS seeds of one item, or as many as the item has, are aligned with the item, word by word. Where these
+   don't reach THRESHOLD, all grams that the document shares with the item are its seeds: copies may keep
+   frequent grams alone. A place that holds too few of the item's words to reach THRESHOLD isn't aligned.
 
 The score of an alignment is MATCH for equal words (A-Z lower-cased), MISMATCH for replaced, GAP for
 inserted or lost ones, as a share of the item's own score, so 1 is a whole copy; a document with a score
@@ -51,16 +53,17 @@ class Index:
         self.place = np.arange(len(grams)) - np.repeat(gram_at[:-1], np.diff(gram_at))
 
     def keep_rare(self, df: np.ndarray) -> None:
-        """Keep the rarest grams of each item as seeds."""
+        """Keep the grams that occur in documents, and mark the rarest of each item as seeds."""
         own = df[self.code]
-        keep = np.zeros(len(own), bool)
+        rare = np.zeros(len(own), bool)
         for k in range(len(self.ids)):
-            here = np.flatnonzero(self.item == k)
+            here = np.flatnonzero((self.item == k) & (own > 0))
             if len(here):
                 last = np.sort(own[here])[max(min(len(here), 6), int(np.ceil(len(here) * RARE_SHARE))) - 1]
-                keep[here[own[here] <= last]] = True
+                rare[here[own[here] <= last]] = True
+        keep = own > 0
         order = np.flatnonzero(keep)[np.argsort(self.code[keep], kind="stable")]
-        self.code, self.item, self.place = self.code[order], self.item[order], self.place[order]
+        self.code, self.item, self.place, self.rare = self.code[order], self.item[order], self.place[order], rare[order]
         self.first = np.searchsorted(self.code, np.arange(len(self.grams) + 1))
         self.needed = np.minimum(SEEDS, np.bincount(self.item, minlength=len(self.ids)))
 
@@ -101,6 +104,20 @@ def _df(index: Index):
     return run
 
 
+def _best(index: Index, k: int, begin: np.ndarray, own: np.ndarray) -> float:
+    """The best share of item ``k`` near where seeds say that it begins."""
+    best, size = 0.0, len(index.words[k])
+    begin, count = np.unique(begin, return_counts=True)
+    cuts = np.flatnonzero(np.diff(begin) > 2 * size) + 1
+    for run, n in zip(np.split(begin, cuts), np.split(count, cuts), strict=True):
+        if n.sum() < index.needed[k]:
+            continue
+        window = own[max(0, run[0] - size // 2) : run[-1] + size + size // 2]
+        if np.isin(index.words[k], window).sum() >= THRESHOLD * size:
+            best = max(best, smith_waterman(index.words[k], window) / (MATCH * size))
+    return best
+
+
 def _hits(index: Index, words: Words, grams, gram_at, row: int) -> list[tuple[int, float]]:
     """(item, score) of the row's alignments."""
     found, code = index.lookup(grams[gram_at[row] : gram_at[row + 1]])
@@ -108,22 +125,21 @@ def _hits(index: Index, words: Words, grams, gram_at, row: int) -> list[tuple[in
         return []
     n = index.first[code + 1] - index.first[code]
     entry = np.arange(n.sum()) + np.repeat(index.first[code] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    item, at, place = index.item[entry], np.repeat(found, n), index.place[entry]
+    order = np.argsort(index.item[entry], kind="stable")
+    entry, at = entry[order], np.repeat(found, n)[order]
+    items, edges = np.unique(index.item[entry], return_index=True)
+    edges = np.append(edges, len(entry))
     own = words.hash[words.at[row] : words.at[row + 1]]
     out: dict[int, float] = {}
-    for k in np.unique(item):
-        here = item == k
-        if here.sum() < index.needed[k]:
-            continue
-        size = len(index.words[k])
-        begin = np.unique(at[here] - place[here])
-        for run in np.split(begin, np.flatnonzero(np.diff(begin) > 2 * size) + 1):
-            near = (at[here] - place[here] >= run[0]) & (at[here] - place[here] <= run[-1])
-            if near.sum() < index.needed[k]:
-                continue
-            window = own[max(0, run[0] - size // 2) : run[-1] + size + size // 2]
-            out[k] = max(out.get(k, 0.0), smith_waterman(index.words[k], window) / (MATCH * size))
-    return [(k, s) for k, s in out.items() if s >= THRESHOLD]
+    for i in np.flatnonzero(np.diff(edges) >= index.needed[items]):
+        k, here = items[i], entry[edges[i] : edges[i + 1]]
+        begin, rare = at[edges[i] : edges[i + 1]] - index.place[here], index.rare[here]
+        best = _best(index, k, begin[rare], own)
+        if best < THRESHOLD and not rare.all():
+            best = _best(index, k, begin, own)
+        if best >= THRESHOLD:
+            out[k] = best
+    return list(out.items())
 
 
 def _search(docs: DataFrame, index: Index, names: list[str]) -> DataFrame:

@@ -55,3 +55,18 @@ def test_edited_copies_and_odd_rows(spark):
     assert op.keep_clean(docs, bench).columns == docs.columns
     assert op.keep_clean(docs, bench.limit(0)).count() == len(rows)
     assert op.keep_clean(docs.limit(0), bench).count() == 0
+
+
+def test_only_edited_copies(spark):
+    """Grams that edits broke occur nowhere and must not be an item's rare seeds; nor may rarer ones of another copy hide a document."""
+    w = [f"w{i}" for i in range(20)]
+    other = [f"v{i}" for i in range(20)]
+    fifth = [x if i % 5 != 4 else f"x{i}" for i, x in enumerate(w)]
+    spaced = [x if i not in (4, 9, 14) else f"y{i}" for i, x in enumerate(w)]
+    texts = [fifth, spaced[:15] + ["z"] + w[16:], other[:10] + ["a"] * 30, *[["b"] * 9 + other[10:]] * 5]
+    docs = spark.createDataFrame([(i, " ".join(["q", *t])) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for one in ([0], [1], range(len(texts))):
+        bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other))], "item_id bigint, text string")
+        got = {r.doc_id: r["__n_items"] for r in op.annotate(docs.filter(docs.doc_id.isin(list(one))), bench).collect()}
+        want = {i: sum(plain_score(x, ["q", *texts[i]]) >= op.THRESHOLD * op.MATCH * len(x) for x in (w, other)) for i in one}
+        assert got == want and all(want.values())
