@@ -1,8 +1,8 @@
 """Three tiers of entity merging: equal names in the cluster, then similar names and similar vectors within a type.
 
 The two similarity tiers are greedy and depend on order: a name joins the first group whose first member is
-similar enough. Order is made explicit by ``seq``, and each type is one group; blocking by type and a cap-free
-early stop by length keep the pair work small for the vocabulary of a corpus.
+similar enough. Order is made explicit by ``seq``, and each type is one group; blocking by type and a bound on
+the common subsequence by counts of characters, taken for all heads at once, keep the pair work small.
 """
 
 from __future__ import annotations
@@ -36,22 +36,34 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 100.0 if not x and not y else 100.0 * 2 * common_subsequence(x, y) / (len(x) + len(y))
 
 
-def _greedy(rows: pd.DataFrame, similar: Callable[[int, int], bool]) -> list[int]:
-    """For each row, in order, the row that heads its group."""
-    heads: list[int] = []
-    out = []
-    for i in range(len(rows)):
-        own = next((h for h in heads if similar(h, i)), i)
+def _greedy(names: list[str], limit: float) -> list[int]:
+    """For each name, in order, the place of the one that heads its group."""
+    alphabet = {c: k for k, c in enumerate(sorted(set("".join(names))))}
+    counts = np.zeros((len(names), len(alphabet)), np.int32)
+    for i, n in enumerate(names):
+        np.add.at(counts[i], [alphabet[c] for c in n], 1)
+    length = counts.sum(1)
+    heads = np.zeros(len(names), int)
+    size, out = 0, []
+    for i, n in enumerate(names):
+        tried = heads[:size]
+        most = np.minimum(counts[tried], counts[i]).sum(1)  # no common subsequence is longer
+        near = tried[200.0 * most >= limit * (length[tried] + length[i])]
+        own = next((int(h) for h in near if token_sort_ratio(names[h], n) >= limit), i)
         if own == i:
-            heads.append(i)
+            heads[size] = i
+            size += 1
         out.append(own)
     return out
 
 
 def _merged(rows: pd.DataFrame, group: list[int]) -> pd.DataFrame:
     out = []
-    for head in dict.fromkeys(group):
-        own = rows.iloc[[i for i, g in enumerate(group) if g == head]]
+    members: dict[int, list[int]] = {}
+    for i, head in enumerate(group):
+        members.setdefault(head, []).append(i)
+    for places in members.values():
+        own = rows.iloc[places]
         best = own.iloc[int(own["confidence"].to_numpy().argmax())].copy()
         best["properties"] = {k: v for p in own["properties"] for k, v in dict(p or {}).items()}
         best["first_seq"] = own["first_seq"].min()
@@ -72,15 +84,7 @@ def fuzzy_tier(entities: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame
     limit = config.fuzzy_threshold
 
     def work(rows: pd.DataFrame) -> list[int]:
-        names = [" ".join(sorted(n.split())) for n in rows["norm_name"]]
-
-        def similar(h: int, i: int) -> bool:
-            a, b = names[h], names[i]
-            if 200.0 * min(len(a), len(b)) < limit * (len(a) + len(b)):
-                return False
-            return token_sort_ratio(a, b) >= limit
-
-        return _greedy(rows, similar)
+        return _greedy([" ".join(sorted(n.split())) for n in rows["norm_name"]], limit)
 
     return _by_type(entities, work)
 

@@ -167,7 +167,7 @@ def leiden(t):
 
 @query()
 def entity_fuzzy_dedup(t):
-    own = t("part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), (F.col("p_size") / 50).alias("confidence"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("properties"))
+    own = t("part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), (F.col("p_size") / 50).alias("confidence"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("properties"))
     return entity_dedup.dedup_enhanced(own).select("type", "norm_name", "name", F.array_join("names", ",").alias("names"))
 
 

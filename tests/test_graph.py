@@ -117,3 +117,24 @@ def test_transe(spark):
     assert all(abs(np.linalg.norm(x) - 1) < 1e-6 for x in v.values())
     ent, rel = gl.transe(one.limit(0), 16)
     assert ent.count() == 0 == rel.count()
+
+
+def test_fuzzy_query_takes_all_parts(spark, tmp_path):
+    """Parts of any key are merged, as by brute force over all pairs in order."""
+    rng = np.random.default_rng(3)
+    words = "almond antique azure beige black blue".split()
+    rows = [(300 + 7 * i, " ".join(rng.choice(words, 4)) + ["", " x", " yz"][i % 3], f"b{i % 2}", i % 50) for i in range(90)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    from quillgraph.plans import registry
+
+    first: dict = {}
+    for _, name, brand, _ in rows:
+        first.setdefault((brand, name), name)
+    groups: dict = {}
+    for brand, name in first:
+        heads = groups.setdefault(brand, {})
+        head = next((h for h in heads if entity_dedup.token_sort_ratio(h, name) >= EngineConfig().fuzzy_threshold), name)
+        heads.setdefault(head, []).append(name)
+    got = sorted((r.type, r.names) for r in registry.QUERIES["entity_fuzzy_dedup"](spark, str(tmp_path)).collect())
+    assert got == sorted((b, ",".join(n)) for b, heads in groups.items() for n in heads.values())
+    assert any("," in n for _, n in got)
