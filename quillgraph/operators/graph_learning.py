@@ -1,11 +1,14 @@
 """Node and relation vectors: neighbourhood aggregation (two layers) and translations (TransE).
 
-Training works on a graph that fits one machine and is refused beyond ``MOST_TRAINING_EDGES``; a larger graph is trained on a
-sample of edges by hash. Inference is distributed: sampled neighbours are joined and averaged, and the weights go out as constants.
+Training takes all edges, in slices by hash of about ``SLICE_EDGES``, one of which is in memory at a time. TransE passes over all slices in
+each epoch and holds a vector for every entity; the weights of aggregation are trained on one slice after another, whose every edge
+is aggregated and 4,096 of whose edges, drawn anew, make up an epoch's loss. Inference is distributed: sampled neighbours are joined and averaged, and the weights go out as constants.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import DEFAULT, EngineConfig
 from quillgraph.functions.vectors import l2_normalize
 
-MOST_TRAINING_EDGES = 2_000_000
+SLICE_EDGES = 2_000_000
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -27,10 +30,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def _training_edges(edges: DataFrame) -> DataFrame:
-    n = edges.count()
-    share = min(1.0, MOST_TRAINING_EDGES / max(n, 1))
-    return edges if share == 1.0 else edges.filter(F.pmod(F.xxhash64(*edges.columns), F.lit(1 << 30)) < int(share * (1 << 30)) * 0.9)
+def _slices(edges: DataFrame) -> list[DataFrame]:
+    """All of ``edges``, dealt into slices by hash."""
+    n = -(-edges.count() // SLICE_EDGES)
+    turn = F.pmod(F.xxhash64(*edges.columns), F.lit(n))
+    return [edges.filter(turn == k) for k in range(n)] if n > 1 else [edges]
 
 
 class Sage:
@@ -50,9 +54,9 @@ class Sage:
         return _unit(z), (x, m0, h, m1, z)
 
 
-def train_sage(features: np.ndarray, edges: np.ndarray, config: EngineConfig = DEFAULT) -> Sage:
-    """Link prediction by logistic loss on edges and random pairs, with Adam."""
-    model = Sage((features.shape[1], *config.sage_dims[1:]), config.seed)
+def train_sage(features: np.ndarray, edges: np.ndarray, config: EngineConfig = DEFAULT, model: Sage | None = None) -> Sage:
+    """Link prediction by logistic loss on edges and random pairs, with Adam; goes on with ``model`` if given."""
+    model = model or Sage((features.shape[1], *config.sage_dims[1:]), config.seed)
     rng = np.random.default_rng(config.seed)
     n = len(features)
     ends = np.concatenate([edges, edges[:, ::-1]])
@@ -115,14 +119,19 @@ def infer_sage(nodes: DataFrame, edges: DataFrame, params: dict[str, np.ndarray]
     return current.select("node", l2_normalize("x").alias("embedding"))
 
 
-def train_transe(triples: np.ndarray, n_entities: int, n_relations: int, dim: int = DEFAULT.part_dim, config: EngineConfig = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
-    """Entity (unit length) and relation vectors with h + r near t, by margin ranking against triples with one end replaced."""
+def train_transe(triples: np.ndarray | Callable[[], Iterable[np.ndarray]], n_entities: int, n_relations: int, dim: int = DEFAULT.part_dim, config: EngineConfig = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """Entity (unit length) and relation vectors with h + r near t, by margin ranking against triples with one end replaced.
+
+    ``triples`` may be a function that gives them in slices, once for each epoch.
+    """
+    given = triples if callable(triples) else lambda: [triples]
     rng = np.random.default_rng(config.seed)
     ent, rel = (_unit(rng.uniform(-6 / np.sqrt(dim), 6 / np.sqrt(dim), (k, dim))) for k in (n_entities, n_relations))
     for _ in range(config.train_epochs):
         ent = _unit(ent)
-        for few in np.array_split(rng.permutation(len(triples)), max(1, len(triples) // 512)):
-            h, r, t = triples[few].T
+        batches = (rows[few] for rows in given() for few in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 512)) if len(few))
+        for few in batches:
+            h, r, t = few.T
             head = rng.random(len(few)) < 0.5
             other = rng.integers(0, n_entities, len(few))
             nh, nt = np.where(head, other, h), np.where(head, t, other)
@@ -140,13 +149,18 @@ def train_transe(triples: np.ndarray, n_entities: int, n_relations: int, dim: in
 def transe(triples: DataFrame, dim: int = DEFAULT.part_dim, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(node, embedding) and (relation_type, embedding) for (h, r, t) rows; both empty without a triple."""
     spark = triples.sparkSession
-    rows = [(x["h"], x["r"], x["t"]) for x in _training_edges(triples).orderBy("h", "r", "t").collect()]  # MOST_TRAINING_EDGES at most
-    names = sorted({h for h, _, _ in rows} | {t for _, _, t in rows})
-    kinds = sorted({r for _, r, _ in rows})
+    slices = _slices(triples.select("h", "r", "t"))
+    ends = triples.select(F.explode(F.array("h", "t")).alias("n")).distinct()
+    names, kinds = (sorted(x[0] for x in found.collect()) for found in (ends, triples.select("r").distinct()))  # a row for each vector that is trained
+    e, k = {n: i for i, n in enumerate(names)}, {n: i for i, n in enumerate(kinds)}
+
+    def read(part: DataFrame) -> np.ndarray:
+        return np.array([(e[x["h"]], k[x["r"]], e[x["t"]]) for x in part.orderBy("h", "r", "t").collect()], int).reshape(-1, 3)  # a slice
+
     ent = rel = np.zeros((0, dim))
-    if rows:
-        e, k = {n: i for i, n in enumerate(names)}, {n: i for i, n in enumerate(kinds)}
-        ent, rel = train_transe(np.array([(e[h], k[r], e[t]) for h, r, t in rows]), len(names), len(kinds), dim, config)
+    if names:
+        only = read(slices[0]) if len(slices) == 1 else None
+        ent, rel = train_transe((lambda: map(read, slices)) if only is None else only, len(names), len(kinds), dim, config)
     return (
         spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, ent)], "node string, embedding array<double>"),
         spark.createDataFrame([(n, v.tolist()) for n, v in zip(kinds, rel)], "relation_type string, embedding array<double>"),
@@ -156,15 +170,21 @@ def transe(triples: DataFrame, dim: int = DEFAULT.part_dim, config: EngineConfig
 def sage(nodes: DataFrame, edges: DataFrame, config: EngineConfig = DEFAULT, params: dict[str, np.ndarray] | None = None) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """(node, embedding) for (node, x) features and (a, b) edges, and the weights, trained unless given."""
     if params is None:
-        few = [(r["a"], r["b"]) for r in _training_edges(edges.select("a", "b")).filter("a <> b").orderBy("a", "b").collect()]  # MOST_TRAINING_EDGES at most
-        ends = sorted({x for e in few for x in e})
-        wanted = nodes.sparkSession.createDataFrame([(x,) for x in ends], "node string")
-        rows = {r["node"]: r["x"] for r in nodes.join(wanted, "node").collect()}
-        ends = [x for x in ends if x in rows]
-        place = {x: i for i, x in enumerate(ends)}
-        pairs = np.array([(place[a], place[b]) for a, b in few if a in place and b in place], int).reshape(-1, 2)
-        width = len(next(iter(rows.values()))) if rows else config.sage_dims[0]
-        params = train_sage(np.array([rows[x] for x in ends], float), pairs, config).params if len(pairs) else Sage((width, *config.sage_dims[1:]), config.seed).params
+        model = None
+        for part in _slices(edges.select("a", "b").filter("a <> b")):
+            few = [(r["a"], r["b"]) for r in part.orderBy("a", "b").collect()]  # a slice
+            ends = sorted({x for e in few for x in e})
+            wanted = nodes.sparkSession.createDataFrame([(x,) for x in ends], "node string")
+            rows = {r["node"]: r["x"] for r in nodes.join(wanted, "node").collect()}
+            ends = [x for x in ends if x in rows]
+            place = {x: i for i, x in enumerate(ends)}
+            pairs = np.array([(place[a], place[b]) for a, b in few if a in place and b in place], int).reshape(-1, 2)
+            if len(pairs):
+                model = train_sage(np.array([rows[x] for x in ends], float), pairs, config, model)
+        if model is None:
+            one = nodes.select("x").first()
+            model = Sage((len(one["x"]) if one else config.sage_dims[0], *config.sage_dims[1:]), config.seed)
+        params = model.params
     return infer_sage(nodes, edges, params, config.sage_neighbours), params
 
 

@@ -155,14 +155,14 @@ def community_components(t):
     return community.components(pairs)
 
 
-def _sample(t):
-    """A graph of nations, regions and suppliers that trains in a second."""
-    return graph.active_edges(_entities(t), _edges(t).filter("rel_type <> 'LIVES_IN'"))
+def _active(t):
+    """All edges between active entities."""
+    return graph.active_edges(_entities(t), _edges(t))
 
 
 @query()
 def leiden(t):
-    return community.detect(community.undirected(_sample(t)))
+    return community.detect(community.undirected(_active(t)))
 
 
 @query()
@@ -180,7 +180,7 @@ def entity_embed_dedup(t):
 
 @query()
 def sage_embeddings(t):
-    edges = community.undirected(_sample(t))
+    edges = community.undirected(_active(t))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     from quillgraph.plans.providers import hashed_embedding
 
@@ -191,6 +191,6 @@ def sage_embeddings(t):
 
 @query()
 def transe_embeddings(t):
-    entities, relations = graph_learning.transe(graph.triples(_sample(t)), 16, EngineConfig(train_epochs=30))
+    entities, relations = graph_learning.transe(graph.triples(_active(t)), 16, EngineConfig(train_epochs=30))
     both = entities.select(F.col("node").alias("name"), "embedding").unionByName(relations.select(F.col("relation_type").alias("name"), "embedding"))
     return both.select("name", F.size("embedding").cast("long").alias("dim"))

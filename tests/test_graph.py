@@ -138,3 +138,29 @@ def test_fuzzy_query_takes_all_parts(spark, tmp_path):
     got = sorted((r.type, r.names) for r in registry.QUERIES["entity_fuzzy_dedup"](spark, str(tmp_path)).collect())
     assert got == sorted((b, ",".join(n)) for b, heads in groups.items() for n in heads.values())
     assert any("," in n for _, n in got)
+
+
+def test_graph_queries_take_all_edges(spark, sf_small):
+    from quillgraph.plans import registry
+
+    customers = {f"{r.c_name}::Customer" for r in spark.read.parquet(f"{sf_small}/customer.parquet").filter("c_custkey % 11 <> 0").collect()}
+    for name, column in (("leiden", "node"), ("sage_embeddings", "node"), ("transe_embeddings", "name")):
+        got = {r[column] for r in registry.QUERIES[name](spark, sf_small).collect()}
+        assert customers and customers <= got
+
+
+def test_training_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(gl, "SLICE_EDGES", 4)
+    rows = [(f"n{i}", "RS"[i % 2], f"n{(i * 7 + 1) % 40}") for i in range(30) if i != (i * 7 + 1) % 40]
+    triples = spark.createDataFrame(rows, "h string, r string, t string")
+    slices = gl._slices(triples)
+    assert len(slices) > 1 and sorted(tuple(x) for s in slices for x in s.collect()) == sorted(rows)
+    ent, rel = gl.transe(triples, 8, EngineConfig(train_epochs=2))
+    assert {r.node for r in ent.collect()} == {x for h, _, t in rows for x in (h, t)} and rel.count() == 2
+    seen = []
+    train = gl.train_sage
+    monkeypatch.setattr(gl, "train_sage", lambda f, e, c, m=None: seen.append(len(e)) or train(f, e, c, m))
+    edges = triples.selectExpr("h as a", "t as b")
+    nodes = ent.selectExpr("node", "embedding as x")
+    found, _ = gl.sage(nodes, edges, EngineConfig(train_epochs=2, sage_dims=(8, 4, 4)))
+    assert sum(seen) == len(rows) and len(seen) > 1 and found.count() == nodes.count()
