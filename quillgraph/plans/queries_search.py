@@ -163,7 +163,7 @@ def rrf_fusion(t):
 @query(f"WITH {SCORES} SELECT chunk_id, query_id AS best_query, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, query_id) AS r FROM s WHERE score > 0.2) WHERE r = 1")
 def multi_query_merge(t):
     """Several phrasings of one query: each chunk once, with its best score."""
-    found = retrieval.nearest(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _asked(t), 10**6, above=0.2)
+    found = retrieval.nearest(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _asked(t), None, above=0.2)
     own = found.select(F.lit(0).alias("one"), "chunk_id", "score", F.col("query_id").alias("seq"))
     return retrieval.dedup_best(own, by="one").select("chunk_id", F.col("seq").alias("best_query"), F.round("score", 6).alias("score"))
 

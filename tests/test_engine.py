@@ -125,3 +125,12 @@ def test_streams(spark, tmp_path, world):
     assert catalog.read("documents").count() == 1 and catalog.read("chunks").count() > 0
     rows = spark.createDataFrame([("2025-01-01 00:10:00", "a", 1.0), ("2025-01-01 00:50:00", "a", 2.0), ("2025-01-01 01:10:00", "b", 4.0)], "at string, kind string, v double").withColumn("at", F.to_timestamp("at"))
     assert sorted((r.kind, r.n, r.total) for r in logs.rollup(rows, "at", "kind", "v").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+def test_merge_has_no_cap(spark, tmp_path):
+    """More than a million chunks above the threshold all come back."""
+    from quillgraph.plans import registry
+
+    n = 10**6 + 7
+    spark.range(n).selectExpr("if(id = 0, 0, id + 5) as vec_id", "array(1f, cast(id % 3 as float) / 10) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.QUERIES["multi_query_merge"](spark, str(tmp_path)).count() == n
