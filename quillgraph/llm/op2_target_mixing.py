@@ -14,7 +14,7 @@
    ever collected.
 3. The targets are weights of the domains for a corpus in which `clean` keeps all the words it has. A
    document is taken floor(r) times, and once more if what is left over r exceeds a bound that its
-   doc_id draws from (0.25, 0.75): rates close to a whole number aren't left to chance.
+   doc_id draws from (0, 1), evenly: the expected number of copies is the rate.
 
 Defined cases: a null or empty text has no words, rate 1 and one copy; without labelled rows (or with one domain alone)
 all posteriors are equal; a domain without any words can't be reached and is left out of the fit;
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     found = posteriors(docs, fit(docs, labels))
     steps, scale, _ = fit_rates(found, targets)
     left = F.col("__rate") - F.floor("__rate")
-    bound = F.lit(0.25) + F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1_000_000)) / 2_000_000.0
+    bound = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1_000_000)) + 0.5) / 1_000_000.0
     rated = found.withColumn("__rate", F.round(F.when(F.col("__words") == 0, F.lit(1.0)).otherwise(_rate(steps)), 6))
     return rated.withColumn("__copies", (F.floor("__rate") + F.when(left > bound, 1).otherwise(0)).cast("long"))
 

@@ -34,3 +34,14 @@ def test_odd_tables(spark):
         assert len(rows) == 5 and all(r["__copies"] >= 1 for r in rows if not r.text)
         assert op.take(docs, labels).columns == docs.columns
     assert op.mix(docs.limit(0), some).count() == 0
+
+
+def test_copies_meet_rates(spark, sf_mid):
+    """The words that are taken meet those of the rates within the spread of an unbiased rounding."""
+    docs, labels = (spark.read.parquet(f"{sf_mid}/{t}.parquet") for t in ("documents", "labels"))
+    rows = op.mix(docs, labels).select("__words", "__rate", "__copies", *[f"__p_{d}" for d in op.DOMAINS]).collect()
+    x = np.array([tuple(r) for r in rows], float)
+    size, part = x[:, :1] * x[:, 3:], x[:, 1] - np.floor(x[:, 1])
+    spread = np.sqrt((size**2 * (part * (1 - part))[:, None]).sum(0))
+    assert (np.abs((x[:, 2] - x[:, 1]) @ size) <= 3 * spread).all()
+    assert ((x[:, 2] == np.floor(x[:, 1])) | (x[:, 2] == np.ceil(x[:, 1]))).all()
