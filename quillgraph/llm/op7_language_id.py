@@ -2,9 +2,10 @@
 
 A text is the vector of its hashed byte 3-grams (lower case, other ASCII than letters folded to a space),
 weighted log(1 + count) * idf and scaled to length one. Each language has up to CLUSTERS centroids from
-spherical k-means over a bounded sample of labelled rows. The language of the centroid with the
-largest cosine is predicted, and the cosine is the score. A text farther from its centroid than
-SLACK times the farthest sample text of that cluster is rejected.
+spherical k-means over a bounded sample of labelled rows. A cluster of less than LEAST_ROWS rows is dissolved: they
+join the nearest of the others. The language of the centroid with the largest cosine is predicted, and the
+cosine is the score. A text farther from its centroid than SLACK times the language's limit is rejected: the
+distance of the farthest sample text of those that were in a large enough cluster at first.
 
 Sample: of the rows with a language and a text whose crc32(doc_id as text) mod 5 is not 0, the
 SAMPLE_PER_LANGUAGE first by a hash of doc_id for each language. The idf is that of the sample.
@@ -30,6 +31,10 @@ from quillgraph.llm.kernels import map_rows, slices
 BITS = 13
 SAMPLE_PER_LANGUAGE = 600
 CLUSTERS = 3
+#: Rows of a sample that a cluster needs; a language with fewer is one cluster.
+LEAST_ROWS = 10
+#: What sums of single floats may be off by.
+ROUNDING = 1e-6
 SLACK = 1.05
 UNKNOWN = "und"
 _CHUNK = 256
@@ -68,22 +73,31 @@ def _document_counts(table: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([len(seen)], pa.int64()), "df": pa.array([seen.sum(0).astype(np.float32).tobytes()], pa.binary())})
 
 
+def _spherical(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids after rounds of k-means from ``centre``, and the one of each row."""
+    for _ in range(12):
+        own = (x @ centre.T).argmax(1)
+        centre = np.stack([x[own == k].sum(0) if (own == k).any() else centre[k] for k in range(len(centre))])
+        centre /= np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-12)
+    return centre, (x @ centre.T).argmax(1)
+
+
 def _centroids(idf: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         x = _vectors(_sample_counts(table), idf)
-        chosen = [0]
-        while len(chosen) < min(CLUSTERS, len(x)):
-            chosen.append(int((x @ x[chosen].T).max(1).argmin()))
-        centre = x[chosen]
-        for _ in range(12):
-            own = (x @ centre.T).argmax(1)
-            centre = np.stack([x[own == k].sum(0) if (own == k).any() else centre[k] for k in range(len(centre))])
-            centre /= np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-12)
-        near = x @ centre.T
-        own = near.argmax(1)
-        far = [float(1 - near[own == k, k].min()) if (own == k).any() else 0.0 for k in range(len(centre))]
+        # Seeds at even ranks of similarity to the mean, for the farthest texts are outliers.
+        order = np.argsort(x @ x.mean(0), kind="stable")
+        n = max(1, min(CLUSTERS, len(x) // LEAST_ROWS))
+        centre = x[order[(2 * np.arange(n) + 1) * len(x) // (2 * n)]]
+        centre, own = _spherical(x, centre)
+        size = np.bincount(own, minlength=len(centre))
+        enough = size >= min(LEAST_ROWS, size.max())
+        usual = enough[own]
+        if not enough.all():
+            centre, own = _spherical(x, centre[enough])
+        far = float(1 - (x @ centre.T).max(1)[usual].min())
         lang = table.column("lang")[0].as_py()
-        return pa.table({"lang": pa.array([lang] * len(centre)), "centre": pa.array([c.astype(np.float32).tobytes() for c in centre], pa.binary()), "far": pa.array(far, pa.float64())})
+        return pa.table({"lang": pa.array([lang] * len(centre)), "centre": pa.array([c.astype(np.float32).tobytes() for c in centre], pa.binary()), "far": pa.array([far] * len(centre), pa.float64())})
 
     return run
 
@@ -126,7 +140,7 @@ def annotate(docs: DataFrame, model=None, names: tuple[str, str, str] = ("lang_p
                     s = float(min(1.0, max(0.0, near[i - lo, k])))
                 pred.append(UNKNOWN if k is None else langs[k])
                 score.append(s)
-                rejected.append(k is None or 1 - s > SLACK * far[k] + 1e-9)
+                rejected.append(k is None or 1 - s > SLACK * far[k] + ROUNDING)
         return pred, score, rejected
 
     return map_rows(docs, list(zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)), work)

@@ -26,3 +26,10 @@ def test_odd_tables(spark):
     assert by[None] == by[""] == by["123 --"] == "und" and by["le chat et le chien"] == "fr" and by["the the"] == "en"
     empty = op.annotate(df.drop("score").limit(0))
     assert empty.count() == 0
+
+
+def test_no_limit_from_outliers(spark, sf_mid):
+    """No centroid is an outlier's own, whose limit would be 0."""
+    _, langs, centres, far = op.fit(spark.read.parquet(f"{sf_mid}/documents.parquet"))
+    assert len(langs) == len(centres) == len(far) and len(set(langs)) == 4
+    assert (far > 0.3).all() and all(len({f for x, f in zip(langs, far) if x == k}) == 1 for k in langs)
