@@ -12,6 +12,7 @@
    neighbours in shuffled orders; all pairs of a list that are still in different components are tried last. So a large
    group of near copies costs about one verification for each member, not for each pair, and
    no link that matters for a component is lost.
+5. Where links are asked for, every pair of a list that passes the filters is then verified once.
 
 Hashes have 64 bits for whole sets and for counting, and at least 40 plus those of the bucket in the
 join, so that a false common shingle within a pair has a chance of about 1e-8.
@@ -262,11 +263,11 @@ def _pairs(listed: DataFrame) -> DataFrame:
     return listed.filter(_passes("x", "y")).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
 
 
-def components(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
+def components(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, class_links) for every document.
 
-    class_id is the least doc_id with the same set; class_links counts the links of its class that
-    the operator has verified.
+    class_id is the least doc_id with the same set; class_links counts all other classes that its class
+    is linked to. Without ``count_links`` it is left out.
     """
     spark = docs.sparkSession
     own = common.numbered_documents(docs)
@@ -311,20 +312,20 @@ def components(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES) -> DataFrame
     if more.limit(1).count():
         links = links.unionByName(more)
         found = common.connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("class_links"))
-    found = found.join(degree, F.col("node") == F.col("c"), "left").select(F.col("node").alias("class_id"), "component", "class_links")
-    return member.join(found, "class_id", "left").select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component", "class_id").alias("component_id"),
-        "class_id",
-        F.coalesce("class_links", F.lit(0)).alias("class_links"),
-    )
+    found = found.select(F.col("node").alias("class_id"), "component")
+    out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id"]
+    if count_links:
+        x, y = (lists.select("tok", F.col("e").alias(name)) for name in "xy")
+        pairs = common.cut(_pairs(x.join(y, "tok").filter("x.doc_id < y.doc_id")))
+        degree = _verify(pairs, chief).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("class_links"))
+        found = found.join(degree, "class_id", "left")
+        out.append(F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    return member.join(found, "class_id", "left").select(*out)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have the least doc_id of their component, with all their columns."""
-    kept = components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
+    kept = components(docs, count_links=False).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
     return docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
 
 

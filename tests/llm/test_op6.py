@@ -55,3 +55,14 @@ def test_near_groups(spark):
 def test_odd_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as n", "2 as tok", "3 as keys")
     assert set(got(op.components(df))) == {i for i, _ in rows if i is not None}
+
+
+def test_all_links_of_a_group(spark):
+    """Each class counts every other one that it is linked to, in a group of near copies too."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(40)] + [(50, " ".join(base[:40])), (60, " ".join(base))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: sum(j != i and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    df = spark.createDataFrame(rows + [(99, rows[0][1])], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_links for r in op.components(df).collect()}
+    assert got == want | {99: want[0]} and max(want.values()) == 40
