@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only on a local master without one."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         sc.setCheckpointDir(configured)
     return configured
@@ -80,16 +82,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def first_by_hash(rows: DataFrame, group: str, key: str, n: int, salts: int = 64) -> DataFrame:
-    """The ``n`` rows of each group whose key's hash comes first.
+def first_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group whose key's hash comes first; keys are distinct within a group.
 
-    Parts of each group are cut to ``n`` rows first, so the last step gets ``salts`` times ``n`` rows of a group at most.
+    Groups are few (a row for each is broadcast). Of a large one, only rows with a hash in the first 4 ``n``-th of
+    its size are dealt out: some 4 ``n`` rows, and fewer than ``n`` with a chance below 1e-100.
     """
-    h = F.xxhash64(key)
-    for parts in ([group, F.pmod(h, F.lit(salts))], [group]):
-        turn = F.row_number().over(Window.partitionBy(*parts).orderBy(h, key))
-        rows = rows.withColumn("__turn", turn).filter(F.col("__turn") <= n).drop("__turn")
-    return rows
+    place = F.xxhash64(key)
+    size = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    near = rows.withColumn("__place", place).join(F.broadcast(size), group).filter((F.col("__place") / float(2**64) + 0.5) * F.col("__size") <= 4 * max(n, 100))
+    turn = F.row_number().over(Window.partitionBy(group).orderBy("__place", key))
+    return near.withColumn("__turn", turn).filter(F.col("__turn") <= n).drop("__turn", "__place", "__size")
 
 
 def sha256_text(text: Column) -> Column:

@@ -12,7 +12,8 @@ SAMPLE_PER_LANGUAGE first by a hash of doc_id for each language. The idf is that
 
 Defined cases: a null text or one without a letter is `und` with score 0 and rejected, as is every text if there
 is nothing to learn from; rows are independent, so repeated rows get equal results; a null doc_id is not
-held out and never learned from; other columns pass through or are ignored.
+held out and never learned from; other columns pass through or are ignored, and columns that have the names of
+the result's are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SAMPLE_PER_LANGUAGE = 600
 CLUSTERS = 3
 #: Rows of a sample that a cluster needs; a language with fewer is one cluster.
 LEAST_ROWS = 10
-#: What sums of single floats may be off by.
-ROUNDING = 1e-6
+#: Distances nearer than this are equal: the stored centroids are single floats.
+ROUNDING = 1e-5
 SLACK = 1.05
 UNKNOWN = "und"
 _CHUNK = 256
@@ -58,7 +59,7 @@ def _counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts, dtype=np.float64) * idf
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
@@ -123,8 +124,13 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]
 
 
 def annotate(docs: DataFrame, model=None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """``docs`` with the predicted language, the score and whether the distance rejects it."""
+    """``docs`` with the predicted language, the score and whether the distance rejects it.
+
+    Columns of these names that ``docs`` has already are replaced.
+    """
     idf, langs, centres, far = model or fit(docs)
+    centres = centres.astype(np.float64)
+    docs = docs.drop(*names)
 
     def work(part, data, at):
         texts = part.column(part.schema.get_field_index("text")).to_pylist()
