@@ -9,10 +9,15 @@
    share one are candidates if the length and positional filters let them pass. The suffix filter
    (a histogram over hash ranges bounds the overlap) comes before the exact count.
 4. Candidates are first tried against the head of each shingle's list and the entry before, then against
-   neighbours in shuffled orders; all pairs of a list that are still in different components are tried last. So a large
-   group of near copies costs about one verification for each member, not for each pair, and
-   no link that matters for a component is lost.
-5. Where links are asked for, every pair of a list that passes the filters is then verified once.
+   neighbours in shuffled orders; what is still in different components is tried last, all pairs of a list that pass
+   the filters. No pair is verified twice. So a large group of near copies costs about one verification for
+   each member, not for each pair, and no link that matters for a component is lost.
+5. Where links are asked for, the pairs of each component are counted: one by one in components of up to SMALL classes,
+   else as products of 0/1 matrices over two blocks of classes at a time, which gives all
+   overlaps of the blocks without a row for any pair.
+
+A list longer than LIST entries is split by a hash of doc_id for its windows, and one longer than SMALL into
+pairs of blocks for the last step, so that no list or component is one task.
 
 Hashes have 64 bits for whole sets and for counting, and at least 40 plus those of the bucket in the
 join, so that a false common shingle within a pair has a chance of about 1e-8.
@@ -29,7 +34,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +49,11 @@ BUCKET_HASHES = 1_000_000
 HOME_CHARS = 16_000_000
 #: Most rounds of trying neighbours in a shuffled order before all remaining pairs are tried.
 SHUFFLED_ROUNDS = 3
-_HISTOGRAM = 32
+#: Lists and components up to this size are joined pair by pair; larger ones are worked on in pairs of blocks.
+SMALL = 64
+#: Entries that one window takes of a list, and classes (and shingles) of one block.
+LIST, BLOCK, BLOCK_KEYS = 4096, 4096, 1_500_000
+_HISTOGRAM, _SLAB = 32, 2048
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -85,14 +94,13 @@ def _deal(buckets: int):
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 hashes, row, bucket = (hashes // np.uint64(buckets))[order], row[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 home = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                settled = np.argsort(home, kind="stable")
+                some = np.union1d(bucket, home)
+                edges = np.stack([np.searchsorted(bucket, some), np.searchsorted(bucket, some, "right"), np.searchsorted(home[settled], some), np.searchsorted(home[settled], some, "right")], 1)
                 out: dict[str, list] = {"bucket": [], "ids": [], "counts": [], "sizes": [], "digests": [], "low": [], "high": []}
-                for b in range(buckets):
-                    lo, hi = edges[b], edges[b + 1]
-                    here = np.union1d(np.flatnonzero(home == b), row[lo:hi])
-                    if not len(here):
-                        continue
+                for b, (lo, hi, first_home, last_home) in zip(some.tolist(), edges.tolist(), strict=True):
+                    here = np.union1d(settled[first_home:last_home], row[lo:hi])
                     out["bucket"].append(b)
                     out["ids"].append(ids[here].tobytes())
                     out["counts"].append(np.bincount(np.searchsorted(here, row[lo:hi]), minlength=len(here)).astype(np.uint32).tobytes())
@@ -139,15 +147,15 @@ def _count(table: pa.Table, homes: int) -> pa.Table:
     order = np.argsort(place[row], kind="stable")
     full, df = full[order], df[order]
     mark = np.cumsum(sizes >= 0) - 1
-    edges = np.searchsorted(_home(ids[keep], homes), np.arange(homes + 1))
     at = np.concatenate([[0], np.cumsum(number[keep])])
-    some = [h for h in range(homes) if edges[h] < edges[h + 1]]
-    part = lambda x: pa.array([x[edges[h] : edges[h + 1]].tobytes() for h in some], pa.binary())
-    inner = lambda x: pa.array([x[at[edges[h]] : at[edges[h + 1]]].tobytes() for h in some], pa.binary())
-    named = [keep[edges[h] : edges[h + 1]] for h in some]
+    some, edges = np.unique(_home(ids[keep], homes), return_index=True)
+    runs = list(zip(edges.tolist(), np.append(edges[1:], len(keep)).tolist()))  # none of nothing
+    part = lambda x: pa.array([x[i:j].tobytes() for i, j in runs], pa.binary())
+    inner = lambda x: pa.array([x[at[i] : at[j]].tobytes() for i, j in runs], pa.binary())
+    named = [keep[i:j] for i, j in runs]
     return pa.table(
         {
-            "home": pa.array(some, pa.int32()),
+            "home": pa.array(some.astype(np.int32)),
             "ids": part(ids[keep]),
             "sizes": part(sizes[keep]),
             "counts": part(number[keep].astype(np.uint32)),
@@ -252,10 +260,16 @@ def _passes(left: str, right: str):
 
 
 def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The lists that have entries of different components, with each entry's component."""
-    placed = lists.join(found, F.col("e.doc_id") == F.col("node"), "left").select("tok", "e", F.coalesce("component", F.col("e.doc_id")).alias("comp"))
-    mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    return common.cut(placed.join(mixed, "tok", "left_semi"))
+    """The lists that have entries of different components, with each entry's component and the list's size."""
+    placed = lists.drop("size", "head").join(found, F.col("e.doc_id") == F.col("node"), "left").select("tok", "e", F.coalesce("component", F.col("e.doc_id")).alias("comp"))
+    mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("tok", "size")
+    return common.cut(placed.join(mixed, "tok"))
+
+
+def _split(lists: DataFrame, turn: int) -> tuple[DataFrame, list[str]]:
+    """Long lists in parts of some LIST entries, dealt out by list and part."""
+    part = F.pmod(F.xxhash64("e.doc_id", F.lit(turn), F.lit("part")), F.ceil(F.col("size") / LIST))
+    return lists.withColumn("part", part).repartition("tok", "part"), ["tok", "part"]
 
 
 def _pairs(listed: DataFrame) -> DataFrame:
@@ -263,6 +277,103 @@ def _pairs(listed: DataFrame) -> DataFrame:
     return listed.filter(_passes("x", "y")).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
 
 
+def _blocked(rows: DataFrame, doc: Column, blocks: Column) -> DataFrame:
+    """Each row once for every pair of blocks that its own block is in; ``block`` is its own, (``lo``, ``hi``) the pair."""
+    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(doc, F.lit("block")), F.col("blocks")))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """(a, b) of two blocks of one list: pairs in different components that pass the filters of ``_passes``."""
+    get = lambda name: table.column(name).to_numpy()
+    doc, comp, n, pos, block = get("doc_id"), get("comp"), get("n").astype(np.int64), get("pos").astype(np.int64), get("block")
+    ranges = np.frombuffer(b"".join(table.column("ranges").to_pylist()), np.uint8).reshape(len(doc), 16).astype(np.int16)
+    known = get("known")
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    right = right[np.argsort(n[right], kind="stable")]
+    size = n[right]
+    out: list[np.ndarray] = []
+    for i in left.tolist():
+        # Only sizes that the length filter lets pass.
+        near = right[np.searchsorted(size, -(-PERCENT * n[i] // 100)) : np.searchsorted(size, 100 * n[i] // PERCENT, "right")]
+        near = near[comp[near] != comp[i]]
+        if lo == hi:
+            near = near[doc[near] > doc[i]]
+        need = -(-PERCENT * (n[i] + n[near]) // (100 + PERCENT))
+        near, need = (x[np.minimum(n[i] - pos[i], n[near] - pos[near]) >= need] for x in (near, need))
+        if known[i] and len(near):
+            near = near[~known[near] | (np.minimum(ranges[near], ranges[i]).sum(1) >= need)]
+        out.append(np.stack([np.minimum(doc[near], doc[i]), np.maximum(doc[near], doc[i])]))
+    found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+
+def _left_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of one list in different components that pass the filters."""
+    small = placed.filter(F.col("size") <= SMALL)
+    x = small.select("tok", F.col("e").alias("x"), F.col("comp").alias("cx"))
+    y = small.select("tok", F.col("e").alias("y"), F.col("comp").alias("cy"))
+    large = _blocked(placed.filter(F.col("size") > SMALL), F.col("e.doc_id"), F.ceil(F.col("size") / BLOCK))
+    ranges = F.concat(*[F.coalesce(F.reverse(F.unhex(F.lpad(F.hex(f"e.{c}"), 16, "0"))), F.unhex(F.lit("00" * 8))) for c in ("s1", "s2")])
+    large = large.select("tok", "lo", "hi", "block", "comp", "e.doc_id", "e.n", "e.pos", ranges.alias("ranges"), F.col("e.s1").isNotNull().alias("known"))
+    blocked = large.groupBy("tok", "lo", "hi").applyInArrow(_across, "a bigint, b bigint")
+    return _pairs(x.join(y, "tok").filter("cx < cy")).unionByName(blocked).distinct()
+
+
+def _overlaps(rows: tuple[np.ndarray, ...], columns: tuple[np.ndarray, ...], counts: tuple[int, int]) -> np.ndarray:
+    """How many shingles each row of one block shares with each of another."""
+    names, code, often = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1
+    place[often < 2] = -1
+    code = place[code]
+    parts = [(r[c >= 0], c[c >= 0]) for r, c in zip(rows, (code[: len(columns[0])], code[len(columns[0]) :]), strict=True)]
+    parts = [(r[order], c[order]) for r, c in parts for order in [np.argsort(c, kind="stable")]]
+    shared = np.zeros(counts, np.float32)
+    for low in range(0, int((often > 1).sum()), _SLAB):
+        ones = []
+        for (r, c), n in zip(parts, counts, strict=True):
+            i, j = np.searchsorted(c, [low, low + _SLAB])
+            ones.append(np.zeros((n, _SLAB), np.float32))
+            ones[-1][r[i:j], c[i:j] - low] = 1
+        shared += ones[0] @ ones[1].T
+    return shared
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """(class_id, links): the links of the classes of two blocks with those of the other block."""
+    doc, n, block = (table.column(c).to_numpy() for c in ("doc_id", "n", "block"))
+    keys = table.column("keys").to_pylist()
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    sides = [np.flatnonzero(block == lo), np.flatnonzero(block == hi)]
+    columns = [np.frombuffer(b"".join(keys[i] for i in side), np.int64) for side in sides]
+    rows = [np.repeat(np.arange(len(side)), [len(keys[i]) // 8 for i in side]) for side in sides]
+    shared = _overlaps(tuple(rows), tuple(columns), (len(sides[0]), len(sides[1]))).astype(np.int64)
+    linked = (100 + PERCENT) * shared >= PERCENT * (n[sides[0]].astype(np.int64)[:, None] + n[sides[1]][None, :])
+    if lo == hi:
+        np.fill_diagonal(linked, False)
+        return pa.table({"class_id": pa.array(doc[sides[0]], pa.int64()), "links": pa.array(linked.sum(1), pa.int64())})
+    return pa.table({"class_id": pa.array(np.concatenate([doc[sides[0]], doc[sides[1]]]), pa.int64()), "links": pa.array(np.concatenate([linked.sum(1), linked.sum(0)]), pa.int64())})
+
+
+def _links(chief: DataFrame, found: DataFrame) -> DataFrame:
+    """(class_id, class_links): how many other classes each class is linked to; links don't leave components."""
+    sets = chief.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "n", "keys", "s1", "s2", "component")
+    size = found.join(chief.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    # Of as many blocks as classes or shingles ask for, each has some BLOCK_KEYS shingles at most.
+    size = size.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_KEYS)))
+    sets = common.cut(sets.join(size.select("component", "size", "blocks"), "component"))
+    small = sets.filter(F.col("size") <= SMALL)
+    entry = F.struct("n", "doc_id", F.lit(0).alias("pos"), "s1", "s2")
+    x, y = (small.select("component", entry.alias(name)) for name in "xy")
+    pairs = common.cut(_pairs(x.join(y, "component").filter("x.doc_id < y.doc_id")))
+    single = _verify(pairs, small).select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("links"))
+    large = sets.filter(F.col("size") > SMALL).select("component", "doc_id", "n", "keys", "blocks")
+    blocked = _blocked(large, F.col("doc_id"), F.col("blocks"))
+    counted = blocked.groupBy("component", "lo", "hi").applyInArrow(_block_links, "class_id bigint, links bigint")
+    return single.unionByName(counted).groupBy("class_id").agg(F.sum("links").alias("class_links"))
+
+
 def components(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, class_links) for every document.
 
@@ -285,46 +396,48 @@ def components(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES, count_links:
     chief = sets.join(member.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").filter("r > 0").select("doc_id", "n", "r", "keys", "s1", "s2", (F.col("n") - F.length("keys") / 8).cast("int").alias("single"))
     lists = chief.select("doc_id", "n", "single", "s1", "s2", F.posexplode(_prefix("keys", "r")).alias("i", "tok")).select("tok", F.struct("n", "doc_id", (F.col("single") + F.col("i")).alias("pos"), "s1", "s2").alias("e"))
     lists = common.cut(lists)
-
-    by_size = Window.partitionBy("tok").orderBy("e")
-    near = lists.select("tok", F.col("e").alias("y"), F.lag("e").over(by_size).alias("before"), F.first("e").over(by_size).alias("head"))
-    near = near.filter("before is not null").select("y", F.explode(F.array("before", "head")).alias("x"))
-    links = common.cut(_verify(_pairs(near), chief))
+    shared = common.cut(lists.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min("e").alias("head")).filter("size > 1"))
+    lists = common.cut(lists.join(shared, "tok"))
+
+    parts, by = _split(lists, -1)
+    near = parts.select(F.col("e").alias("y"), F.lag("e").over(Window.partitionBy(*by).orderBy("e")).alias("before"), "head")
+    near = near.select("y", F.explode(F.array("before", "head")).alias("x")).filter("x is not null")
+    tried = common.cut(_pairs(near))
+    links = common.cut(_verify(tried, chief))
     found = common.connected_components(links)
 
     # Neighbours in other orders, as long as that joins components: a few entries for each one of a list.
     for turn in range(SHUFFLED_ROUNDS):
-        placed = _mixed(lists, found)
-        shuffled = Window.partitionBy("tok").orderBy(F.xxhash64("e.doc_id", F.lit(turn)), "e.doc_id")
-        near = placed.select(F.col("e").alias("y"), F.col("comp").alias("cy"), F.array(*[F.lag(F.struct("e", "comp"), k).over(shuffled) for k in (1, 2, 3)]).alias("near"))
+        parts, by = _split(_mixed(lists, found), turn)
+        shuffled = Window.partitionBy(*by).orderBy(F.xxhash64("e.doc_id", F.lit(turn)), "e.doc_id")
+        near = parts.select(F.col("e").alias("y"), F.col("comp").alias("cy"), F.array(*[F.lag(F.struct("e", "comp"), k).over(shuffled) for k in (1, 2, 3)]).alias("near"))
         near = near.select("y", "cy", F.explode("near").alias("near")).filter("near.comp <> cy").select("y", F.col("near.e").alias("x"))
-        more = common.cut(_verify(_pairs(near), chief))
+        fresh = common.cut(_pairs(near).join(tried, ["a", "b"], "left_anti"))
+        more = common.cut(_verify(fresh, chief))
+        tried = tried.unionByName(fresh)
         if not more.limit(1).count():
             break
         links = common.cut(links.unionByName(more))
         found = common.connected_components(links)
 
     # What is left: all pairs of one list in different components.
-    placed = _mixed(lists, found)
-    x = placed.select("tok", F.col("e").alias("x"), F.col("comp").alias("cx"))
-    y = placed.select("tok", F.col("e").alias("y"), F.col("comp").alias("cy"))
-    more = common.cut(_verify(_pairs(x.join(y, "tok").filter("cx < cy")), chief))
+    fresh = common.cut(_left_pairs(_mixed(lists, found)).join(tried, ["a", "b"], "left_anti"))
+    more = common.cut(_verify(fresh, chief))
     if more.limit(1).count():
         links = links.unionByName(more)
         found = common.connected_components(links)
-    found = found.select(F.col("node").alias("class_id"), "component")
     out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id"]
     if count_links:
-        x, y = (lists.select("tok", F.col("e").alias(name)) for name in "xy")
-        pairs = common.cut(_pairs(x.join(y, "tok").filter("x.doc_id < y.doc_id")))
-        degree = _verify(pairs, chief).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("class_links"))
-        found = found.join(degree, "class_id", "left")
+        found = found.join(_links(chief, found).withColumnRenamed("class_id", "node"), "node", "left")
         out.append(F.coalesce("class_links", F.lit(0)).alias("class_links"))
-    return member.join(found, "class_id", "left").select(*out)
+    return member.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*out)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the least doc_id of their component, with all their columns."""
+    """The rows of ``docs`` that have the least doc_id of their component, with all their columns.
+
+    All rows of that doc_id stay, for they are one document; rows without a doc_id can't be judged and go.
+    """
     kept = components(docs, count_links=False).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
     return docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
 

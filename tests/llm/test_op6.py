@@ -66,3 +66,29 @@ def test_all_links_of_a_group(spark):
     df = spark.createDataFrame(rows + [(99, rows[0][1])], "doc_id bigint, text string")
     got = {r.doc_id: r.class_links for r in op.components(df).collect()}
     assert got == want | {99: want[0]} and max(want.values()) == 40
+
+
+def test_large_groups(spark, monkeypatch):
+    """Lists and components beyond one block and one window give the same as brute force."""
+    for name, value in (("SMALL", 3), ("LIST", 8), ("BLOCK", 7), ("BLOCK_KEYS", 500), ("SHUFFLED_ROUNDS", 1)):
+        monkeypatch.setattr(op, name, value)
+    import random
+
+    rnd = random.Random(8)
+    rows = []
+    for g in range(3):
+        base = [f"{g}w{i}" for i in range(60)]
+        for k in range(30):
+            w = list(base)
+            for _ in range(rnd.randrange(4)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(w)))
+    common_run = "all of these share one run of words"
+    rows += [(1000 + k, common_run + " " + " ".join(f"y{rnd.randrange(10**6)}" for _ in range(6))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = op.components(df).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+    for r in found:
+        x = sets[r.doc_id]
+        assert r.class_links == sum(100 * len(x & y) >= 80 * len(x | y) for y in set(sets.values()) - {x})
