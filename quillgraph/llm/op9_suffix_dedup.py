@@ -119,20 +119,20 @@ class Batch:
         return cat(hashes, np.uint64), cat(parts, np.int64), cat(places, np.int64)
 
 
-def _rows(batch: int, bucket: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.Table:
+def _rows(batch: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.Table:
     """A row for each bucket; ``bucket`` is ascending."""
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    some = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+    some, first = np.unique(bucket, return_index=True)
+    runs = list(zip(first.tolist(), np.append(first[1:], len(bucket)).tolist()))  # none of nothing
     return pa.table(
-        {"batch": pa.array([batch] * len(some), pa.int64()), "bucket": pa.array(some, pa.int32())}
-        | {k: pa.array([v[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()) for k, v in columns.items()}
+        {"batch": pa.array([batch] * len(some), pa.int64()), "bucket": pa.array(some.astype(np.int32))}
+        | {k: pa.array([v[i:j].tobytes() for i, j in runs], pa.binary()) for k, v in columns.items()}
     )
 
 
 def _ask(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         own = Batch(table, buckets)
-        return _rows(table.column("batch")[0].as_py(), (own.core % np.uint64(buckets)).astype(np.int64), buckets, core=own.core, extent=own.extent, often=own.often)
+        return _rows(table.column("batch")[0].as_py(), (own.core % np.uint64(buckets)).astype(np.int64), core=own.core, extent=own.extent, often=own.often)
 
     return run
 
@@ -178,7 +178,7 @@ def _ask_strings(buckets: int):
         hashes, _, _ = own.strings(_told(told, 0))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        return _rows(docs.column("batch")[0].as_py() if docs.num_rows else -1, bucket[order], buckets, string=hashes[order])
+        return _rows(docs.column("batch")[0].as_py() if docs.num_rows else -1, bucket[order], string=hashes[order])
 
     return run
 
@@ -249,4 +249,5 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True, batch_bytes: int = B
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+    found = remove_repeats(common.table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+    return found.withColumn("has_repeats", F.col("n_removed") > 0)
