@@ -59,6 +59,17 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind, *_ in spans)
 
 
+def free_tokens(text: str, own: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+    """Tokens that no base span reaches into; both lists are in order of start and are swept once."""
+    found, k, reach = [], 0, -1
+    for m in TOKEN.finditer(text):
+        while k < len(own) and own[k][0] < m.end():
+            reach, k = max(reach, own[k][1]), k + 1
+        if reach <= m.start():
+            found.append((m.start(), m.end()))
+    return found
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN)), ("tokens", pa.list_(_SPAN))])
 _FOUND_SQL = "doc_id bigint, spans array<struct<start:int,end:int,kind:string,value:string>>, tokens array<struct<start:int,end:int,kind:string,value:string>>"
@@ -72,8 +83,7 @@ def _scan(batches):
             for text in part.column(1).to_pylist():
                 own = base_spans(text or "")
                 spans.append([{"start": s, "end": e, "kind": k, "value": text[v:e]} for s, e, k, v in own])
-                free = [(m.start(), m.end()) for m in TOKEN.finditer(text or "")]
-                tokens.append([{"start": s, "end": e, "kind": "format", "value": text[s:e]} for s, e in free if not any(s < y and x < e for x, y, *_ in own)])
+                tokens.append([{"start": s, "end": e, "kind": "format", "value": text[s:e]} for s, e in free_tokens(text or "", own)])
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "spans": spans, "tokens": tokens}, schema=_FOUND)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 from quillgraph.llm import op5_secret_grammar as op
@@ -44,3 +45,35 @@ def test_inference(spark):
     assert all("format" not in r.spans for r in got if r.doc_id is not None and r.doc_id < 150)
     assert {r.spans for r in got if r.doc_id == 902} == {brute(rows[-4][1]), ""}
     assert op.scan(df.limit(0)).count() == 0
+
+
+def test_free_tokens():
+    """The sweep gives what looking at every base span for every token gives."""
+    rnd = random.Random(4)
+    parts = ["secret = " + "k" * 30, "AKIA" + "Z" * 20, "0123456789abcdef" * 2, "plainwordthatislong", "x", "=" * 20, "token:"]
+    for _ in range(300):
+        text = rnd.choice([" ", ""]).join(rnd.choice(parts) for _ in range(rnd.randrange(12)))
+        own = op.base_spans(text)
+        free = [(m.start(), m.end()) for m in op.TOKEN.finditer(text)]
+        assert op.free_tokens(text, own) == [(s, e) for s, e in free if not any(s < y and x < e for x, y, *_ in own)]
+    began = time.time()
+    op.free_tokens(("secret = " + "k" * 30 + " plainwordthatislong ") * 10_000, op.base_spans(("secret = " + "k" * 30 + " plainwordthatislong ") * 10_000))
+    assert time.time() - began < 20
+
+
+def test_held_out_recall_and_precision():
+    """Formats learned from labelled values find unlabelled ones; ordinary text is left alone."""
+    rnd = random.Random(6)
+    body = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = [lambda: "sk-live-" + body("0123456789", 6) + body("abcdef", 18), lambda: "ghx_" + body(alnum, 30), lambda: body("ABCDEF", 4) + "-" + body("0123456789", 8) + "-" + body(alnum, 12)]
+    secrets = [m() for m in made for _ in range(200)]
+    ordinary = ["".join(rnd.choice(["tion", "er", "ing", "ment", "al", "over", "con", "ness"]) for _ in range(6)) for _ in range(400)]
+    ordinary += ["-".join(rnd.choice(["state", "of", "the", "art", "well", "known", "long"]) for _ in range(4)) + "x" * 6 for _ in range(200)]
+    assign, other = op.Automaton(secrets[::2]), op.Automaton(ordinary[::2])
+    assert len(assign.states) > 3
+    found = [op.score(x, [assign], other) >= op.THRESHOLD for x in secrets[1::2]]
+    false = [op.score(x, [assign], other) >= op.THRESHOLD for x in ordinary[1::2]]
+    recall, precision = sum(found) / len(found), sum(found) / max(1, sum(found) + sum(false))
+    print(f"recall {recall:.3f}, precision {precision:.3f}, states {len(assign.states)}")
+    assert recall >= 0.9 and precision >= 0.9
