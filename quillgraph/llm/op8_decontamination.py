@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Two passes over the texts, one block of benchmark items at a time (BLOCK_ITEMS of them, so what is
-broadcast has a bound):
+Two passes over the texts, one block of benchmark items at a time (of some BLOCK_ITEMS and BLOCK_BYTES, so what is
+broadcast has a bound, but for a single item that is longer):
 1. the document frequency, over all documents, of every SEED_WORDS-gram of the items;
 2. seeds are each item's rarest grams among those that occur (RARE_SHARE of them, and all ties with the last), so
    an item whose every gram is frequent, being leaked often, keeps its seeds. Places of a document with
@@ -13,8 +13,9 @@ The score of an alignment is MATCH for equal words (A-Z lower-cased), MISMATCH f
 inserted or lost ones, as a share of the item's own score, so 1 is a whole copy; a document with a score
 of THRESHOLD or more for any item is contaminated.
 
-Defined cases: null or empty texts have no words and are clean; items under SEED_WORDS words can't be
-searched for and are passed over, as are items without id or text; repeated items count once for each
+Defined cases: null or empty texts have no words and are clean; items under SEED_WORDS words say little about
+the texts around them, so only a document that is such an item, word for word, holds it; items without id, text or
+words are passed over; repeated items count once for each
 row's id; rows of documents are independent; other columns pass through or are ignored.
 """
 
@@ -35,6 +36,7 @@ SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 8 << 20
 
 
 class Index:
@@ -47,6 +49,11 @@ class Index:
         grams, gram_at = words.grams(SEED_WORDS)
         self.ids = [i for i, _ in items]
         self.words = [words.hash[words.at[k] : words.at[k + 1]] for k in range(len(items))]
+        #: Items without a gram, by their words.
+        self.short: dict[bytes, list[int]] = {}
+        for k, own in enumerate(self.words):
+            if 0 < len(own) < SEED_WORDS:
+                self.short.setdefault(own.tobytes(), []).append(k)
         self.grams = np.unique(grams)
         self.code = np.searchsorted(self.grams, grams)
         self.item = np.repeat(np.arange(len(items)), np.diff(gram_at))
@@ -55,13 +62,13 @@ class Index:
     def keep_rare(self, df: np.ndarray) -> None:
         """Keep the grams that occur in documents, and mark the rarest of each item as seeds."""
         own = df[self.code]
-        rare = np.zeros(len(own), bool)
-        for k in range(len(self.ids)):
-            here = np.flatnonzero((self.item == k) & (own > 0))
-            if len(here):
-                last = np.sort(own[here])[max(min(len(here), 6), int(np.ceil(len(here) * RARE_SHARE))) - 1]
-                rare[here[own[here] <= last]] = True
         keep = own > 0
+        here = np.flatnonzero(keep)
+        here = here[np.lexsort((own[here], self.item[here]))]
+        items, first, count = np.unique(self.item[here], return_index=True, return_counts=True)
+        last = np.zeros(len(self.ids), np.int64)
+        last[items] = own[here][first + np.maximum(np.minimum(count, 6), np.ceil(count * RARE_SHARE).astype(np.int64)) - 1]
+        rare = keep & (own <= last[self.item])
         order = np.flatnonzero(keep)[np.argsort(self.code[keep], kind="stable")]
         self.code, self.item, self.place, self.rare = self.code[order], self.item[order], self.place[order], rare[order]
         self.first = np.searchsorted(self.code, np.arange(len(self.grams) + 1))
@@ -119,7 +126,9 @@ def _best(index: Index, k: int, begin: np.ndarray, own: np.ndarray) -> float:
 
 
 def _hits(index: Index, words: Words, grams, gram_at, row: int) -> list[tuple[int, float]]:
-    """(item, score) of the row's alignments."""
+    """(item, score) of the row's alignments, or of the short items that the row is."""
+    if words.at[row + 1] - words.at[row] < SEED_WORDS:
+        return [(k, 1.0) for k in index.short.get(words.hash[words.at[row] : words.at[row + 1]].tobytes(), ())]
     found, code = index.lookup(grams[gram_at[row] : gram_at[row + 1]])
     if not len(found):
         return []
@@ -157,10 +166,11 @@ def _search(docs: DataFrame, index: Index, names: list[str]) -> DataFrame:
     return map_rows(docs, list(zip(names, (T.LongType(), T.LongType(), T.DoubleType()), strict=True)), work)
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with __n_items, __best_item and __best_score of the alignments that reach THRESHOLD."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    blocks = items.count() // block_items + 1
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(size["n"] // block_items, (size["bytes"] or 0) // block_bytes) + 1
     texts = docs.select("text")
     out = docs
     for k in range(blocks):

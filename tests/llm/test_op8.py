@@ -70,3 +70,11 @@ def test_only_edited_copies(spark):
         got = {r.doc_id: r["__n_items"] for r in op.annotate(docs.filter(docs.doc_id.isin(list(one))), bench).collect()}
         want = {i: sum(plain_score(x, ["q", *texts[i]]) >= op.THRESHOLD * op.MATCH * len(x) for x in (w, other)) for i in one}
         assert got == want and all(want.values())
+
+
+def test_short_items_and_blocks_of_bytes(spark):
+    docs = spark.createDataFrame([(1, "Two  WORDS"), (2, "these are two words here"), (3, "one"), (4, "")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(9, "two words"), (10, "one"), (11, " "), (12, "are two words here and there")], "item_id bigint, text string")
+    for limit in (op.BLOCK_BYTES, 8):
+        got = {r.doc_id: (r["__n_items"], r["__best_item"]) for r in op.annotate(docs, bench, block_bytes=limit).collect()}
+        assert got == {1: (1, 9), 2: (1, 12), 3: (1, 10), 4: (0, None)}
