@@ -52,7 +52,7 @@ SHUFFLED_ROUNDS = 3
 #: Lists and components up to this size are joined pair by pair; larger ones are worked on in pairs of blocks.
 SMALL = 64
 #: Entries that one window takes of a list, and classes (and shingles) of one block.
-LIST, BLOCK, BLOCK_KEYS = 4096, 4096, 1_500_000
+LIST, BLOCK, BLOCK_KEYS = 512, 4096, 1_500_000
 _HISTOGRAM, _SLAB = 32, 2048
 
 

@@ -120,15 +120,19 @@ class Ingestion:
         return self.clock if self.clock is not None else F.current_timestamp()
 
     def ingest_paths(self, paths: list[str], category_id: str | None = None) -> DataFrame:
-        rows = files.read_files(self.spark, paths).select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "length", "content")
+        rows = files.read_files(self.spark, paths).select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "length", "content", F.unix_micros("modificationTime").alias("arrived"))
         return self.ingest(rows, category_id)
 
     def ingest(self, rows: DataFrame, category_id: str | None = None) -> DataFrame:
-        """(filename, id, version, status, error, chunks) for (path, length, content) rows, in order of path."""
+        """(filename, id, version, status, error, chunks) for (path, length, content) rows, in order of path.
+
+        Of several files of one name, the versions follow ``arrived`` (a number that rows may have), then the content's hash.
+        """
         self.spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         began = time.monotonic()
+        rows = rows if "arrived" in rows.columns else rows.withColumn("arrived", F.lit(0).cast("long"))
         parsed = files.parsed(files.validated(rows, self.config), self.providers.parse)
-        parsed = settled(parsed.select(F.col("path").alias("filename"), "content_hash", "full_markdown", "page_count", "error", F.xxhash64("path", "content_hash").alias("seq")))
+        parsed = settled(parsed.select(F.col("path").alias("filename"), "content_hash", "full_markdown", "page_count", "error", F.struct("arrived", "path", "content_hash").alias("seq")))
         usable = parsed.filter("error is null")
         known, old_chunks = self.catalog.read("documents"), self.catalog.read("chunks")
         before = settled(versions.active(known).select("filename", F.col("id").alias("old_id")))

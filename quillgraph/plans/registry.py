@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return register
 
 
-from quillgraph.plans import queries_graph, queries_search, queries_tables  # noqa: E402,F401  they register themselves
+from quillgraph.plans import queries_graph, queries_library, queries_search, queries_tables  # noqa: E402,F401  they register themselves

@@ -12,7 +12,7 @@ from quillgraph.plans.ingest import Ingestion
 def ingest_stream(ingestion: Ingestion, folder: str, checkpoint: str) -> StreamingQuery:
     """Ingest files as they arrive in ``folder``; a batch that is repeated finds its files known by hash."""
     source = ingestion.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    named = source.select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "length", "content")
+    named = source.select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "length", "content", F.unix_micros("modificationTime").alias("arrived"))
     return named.writeStream.foreachBatch(lambda rows, _: ingestion.ingest(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
