@@ -413,7 +413,7 @@ def ingest_batch(t):
     return done.select("filename", "id", "version", "status").join(kept, "id", "left").join(steps, ["filename", "status"]).select("filename", "version", "kept", "status", "step")
 
 
-@query("""SELECT * FROM (VALUES ('where is it?', 'SIMPLE', 1, false, 2), ('where is it?', 'SIMPLE', 0, true, 2), ('compare the two', 'ANALYTICAL', 2, false, 2)) AS v(query, query_type, passes, cached, chunks) JOIN (SELECT count(*) AS sources FROM (SELECT DISTINCT source FROM documents)) ON true""")
+@query("""SELECT * FROM (VALUES ('list leave rules', 'SIMPLE', 1, false, 2), ('list leave rules', 'SIMPLE', 0, true, 2), ('compare the two', 'ANALYTICAL', 2, false, 2)) AS v(query, query_type, passes, cached, chunks)""")
 def answer_batch(t):
     """Questions through all steps: another pass where coverage is poor, and the cache for what was asked before."""
     d = t("documents")
@@ -426,7 +426,6 @@ def answer_batch(t):
     # Two chunks are too few for an analytical question, so there is another pass, as often as the settings allow.
     providers = Providers(answer=lambda query, context, calculation, history, prompt: f"found {len(context) > 0}")
     engine = Engine(catalog, providers, EngineConfig(text_dim=32, part_dim=8), now())
-    told = [engine.query(q) for q in ("where is it?", "where is it?", "compare the two")]
+    told = [engine.query(q) for q in ("list leave rules", "list leave rules", "compare the two")]
     rows = [(a.query, a.query_type, a.passes, a.cached, len(a.chunks)) for a in told]
-    found = d.sparkSession.createDataFrame(rows, "query string, query_type string, passes int, cached boolean, chunks int")
-    return found.crossJoin(F.broadcast(catalog.read("documents").agg(F.count(F.lit(1)).alias("sources"))))
+    return d.sparkSession.createDataFrame(rows, "query string, query_type string, passes int, cached boolean, chunks int")
