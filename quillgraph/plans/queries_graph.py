@@ -27,9 +27,9 @@ def _edges(t):
 
 
 def _seeds(t):
-    """Supplier and nation names as seeds, in another case."""
-    s = t("supplier").filter("s_suppkey <= 3").select(F.lit(1).cast("long").alias("query_id"), F.upper("s_name").alias("name"), F.col("s_suppkey").cast("long").alias("pos"))
-    r = t("region").select(F.lit(2).cast("long").alias("query_id"), F.lower("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("pos"))
+    """Every supplier whose key is divisible by 50 as a query of its own, and the regions as one, in another case."""
+    s = t("supplier").filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").cast("long").alias("query_id"), F.upper("s_name").alias("name"), F.col("s_suppkey").cast("long").alias("pos"))
+    r = t("region").select(F.lit(0).cast("long").alias("query_id"), F.lower("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("pos"))
     return s.unionByName(r)
 
 
@@ -39,7 +39,7 @@ EDGES = """g AS (SELECT c_name AS src, 'Customer' AS st, n_name AS dst, 'Nation'
  UNION ALL SELECT s_name, 'Supplier', n_name, 'Nation', 'LOCATED_IN', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
  UNION ALL SELECT n_name, 'Nation', r_name, 'Region', 'PART_OF', 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 BOTH = "b AS (SELECT src AS a, st AS at, dst AS z, dt AS zt, rel FROM g UNION ALL SELECT dst, dt, src, st, rel FROM g)"
-SEEDS = "s AS (SELECT CAST(1 AS BIGINT) AS query_id, upper(s_name) AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 2, lower(r_name), r_regionkey FROM region)"
+SEEDS = "s AS (SELECT CAST(s_suppkey AS BIGINT) AS query_id, upper(s_name) AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey % 50 = 0 UNION ALL SELECT 0, lower(r_name), r_regionkey FROM region)"
 PATHS = f"""{ENTITIES}, {EDGES}, {BOTH}, {SEEDS}, l AS (SELECT * FROM e WHERE status = 'active'),
 st AS (SELECT s.query_id, l.name, l.type FROM s JOIN l ON lower(l.name) = lower(s.name)),
 o AS (SELECT st.query_id, st.name AS seed, st.type AS stype, b.z, b.zt, 1.0 AS w, b.rel AS rels FROM st JOIN b ON b.a = st.name AND b.at = st.type
@@ -79,11 +79,11 @@ def path_cap(t):
 
 @query(f"""WITH {PATHS}, q AS (SELECT h.query_id, unnest(e.docs) AS doc, e.idx, h.w FROM h JOIN e ON e.name = h.z AND e.type = h.zt WHERE p <= 30 AND e.idx IS NOT NULL
  UNION ALL SELECT s.query_id, l.docs[1], l.idx, NULL FROM s JOIN l ON lower(l.name) = lower(s.name) WHERE l.idx IS NOT NULL),
-w AS (SELECT query_id, doc, idx, coalesce(max(w), 0.5) AS score FROM q GROUP BY query_id, doc, idx), c AS (SELECT CAST(doc_id % 100 AS VARCHAR) AS doc, CAST(doc_id // 100 AS BIGINT) AS idx, doc_id AS chunk_id FROM documents WHERE doc_id < 900),
+w AS (SELECT query_id, doc, idx, coalesce(max(w), 0.5) AS score FROM q GROUP BY query_id, doc, idx), c AS (SELECT CAST(doc_id % 100 AS VARCHAR) AS doc, CAST(doc_id // 100 AS BIGINT) AS idx, doc_id AS chunk_id FROM documents),
 r AS (SELECT w.query_id, c.chunk_id, w.score, row_number() OVER (PARTITION BY w.query_id ORDER BY score DESC, w.doc, w.idx) AS r FROM w JOIN c ON c.doc = w.doc AND c.idx = w.idx)
 SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score FROM r WHERE r <= 10""")
 def resolve_chunks_weight(t):
-    chunks = t("documents").filter("doc_id < 900").select((F.col("doc_id") % 100).cast("string").alias("document_id"), F.expr("cast(doc_id div 100 as int)").alias("chunk_index"), F.col("doc_id").alias("chunk_id"))
+    chunks = t("documents").select((F.col("doc_id") % 100).cast("string").alias("document_id"), F.expr("cast(doc_id div 100 as int)").alias("chunk_index"), F.col("doc_id").alias("chunk_id"))
     entities, seeds = _entities(t), _seeds(t)
     paths = graph.traverse(seeds, entities, _edges(t))
     return graph.resolve_chunks(paths, seeds, entities, chunks).select("query_id", "chunk_id", "score")
@@ -147,12 +147,11 @@ def transe_triples(t):
     return graph.triples(_edges(t))
 
 
-@query("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS c, l_suppkey % 400 AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 200 = 0),
-b AS (SELECT DISTINCT 'c' || c AS a, 's' || s AS z FROM p UNION SELECT 's' || s, 'c' || c FROM p), r AS (SELECT a, a AS z FROM b UNION SELECT r.a, b.z FROM r JOIN b ON r.z = b.a) SELECT a AS node, min(z) AS component FROM r GROUP BY a""")
+@query(f"""WITH {EDGES}, n AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), x AS (SELECT src || '::' || st AS node, r_name FROM g JOIN n ON n.n_name = CASE WHEN st = 'Nation' THEN src ELSE dst END UNION SELECT r_name || '::Region', r_name FROM n)
+SELECT node, min(node) OVER (PARTITION BY r_name) AS component FROM x""")
 def community_components(t):
-    own = t("orders").filter("o_orderkey % 200 = 0").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    pairs = own.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("l_suppkey") % 400).cast("string")).alias("b")).distinct()
-    return community.components(pairs)
+    """Components of the whole graph: what hangs together through nations and regions."""
+    return community.components(community.undirected(_edges(t).withColumn("weight", F.lit(1.0))))
 
 
 def _active(t):

@@ -16,15 +16,14 @@ def now():
     return F.lit(CLOCK).cast("timestamp")
 
 
-def _asked(t, n=5):
-    """The first vectors as queries."""
-    return t("embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+def _asked(t):
+    """Every vector whose id is divisible by 50 as a query."""
+    return t("embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 
 
-def _texts(t, n=8):
-    """The first two words of benchmark items as full-text queries."""
-    words = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " ")
-    return t("benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("text"))
+def _texts(t, step=1):
+    """The whole texts of benchmark items whose id is divisible by ``step`` as full-text queries."""
+    return t("benchmark").filter(F.col("item_id") % step == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
 def _chunks(t):
@@ -41,9 +40,13 @@ def _chunks(t):
 CHUNKS_SQL = """c AS (SELECT doc_id AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, text AS content, source AS filename, source || ' > ' || lang AS section_path, lang AS category_id,
  CASE WHEN doc_id % 7 = 0 THEN 'deprecated' ELSE 'active' END AS status,
  CASE doc_id % 5 WHEN 0 THEN 'HEADING' WHEN 1 THEN 'DEFINITION' WHEN 2 THEN 'INDEX' END AS chunk_type, 1.0 / (1 + doc_id % 97) AS score FROM documents)"""
-SCORES = "s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 5)"
+SCORES = "s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)"
 LEXEMES = "p AS (SELECT doc_id AS chunk_id, w AS lexeme, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents) GROUP BY ALL)"
-ASKED = "b AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), 1, 2), ' ') AS text FROM benchmark WHERE item_id < 8), q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS lexeme FROM b), k AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY query_id)"
+def _asked_sql(step=1):
+    return f"q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS lexeme FROM benchmark WHERE item_id % {step} = 0), k AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY query_id)"
+
+
+ASKED, ASKED_50 = _asked_sql(), _asked_sql(50)
 
 
 @query(f"WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 20")
@@ -106,11 +109,11 @@ def lex_and_match(t):
     return retrieval.match_all(index, asked).select("query_id", "chunk_id", "hits")
 
 
-@query(f"""WITH {LEXEMES}, {ASKED}, l AS (SELECT chunk_id, sum(n) AS length FROM p GROUP BY chunk_id), w AS (SELECT count(*) AS chunks, avg(length) AS mean FROM l), d AS (SELECT lexeme, count(*) AS df FROM p GROUP BY lexeme)
+@query(f"""WITH {LEXEMES}, {ASKED_50}, l AS (SELECT chunk_id, sum(n) AS length FROM p GROUP BY chunk_id), w AS (SELECT count(*) AS chunks, avg(length) AS mean FROM l), d AS (SELECT lexeme, count(*) AS df FROM p GROUP BY lexeme)
 SELECT q.query_id, p.chunk_id, round(sum(ln(1 + (chunks - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))), 5) AS score FROM p JOIN q ON p.lexeme = q.lexeme JOIN d ON d.lexeme = p.lexeme JOIN l ON l.chunk_id = p.chunk_id, w GROUP BY q.query_id, p.chunk_id""")
 def lex_bm25(t):
     index = retrieval.postings(t("documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.bm25(index, retrieval.query_lexemes(_texts(t))).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+    return retrieval.bm25(index, retrieval.query_lexemes(_texts(t, 50))).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {LEXEMES} SELECT lexeme, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM p GROUP BY lexeme")
@@ -271,11 +274,11 @@ def calc_ops(t):
 
 
 @query("""WITH x AS (SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, CAST(a.l_suppkey % 3 AS INT) AS va, CAST(b.l_suppkey % 3 AS INT) AS vb, CAST(a.l_shipdate AS VARCHAR) AS ta, CAST(b.l_shipdate AS VARCHAR) AS tb, a.l_returnflag = 'R' AS ha, b.l_returnflag = 'R' AS hb, a.l_tax AS sa, b.l_tax AS sb
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_orderkey % 10 = 0)
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
 SELECT l_orderkey, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN va <> vb THEN CASE WHEN va > vb THEN 'a' ELSE 'b' END WHEN ta <> tb THEN CASE WHEN ta > tb THEN 'a' ELSE 'b' END WHEN ha <> hb THEN CASE WHEN ha THEN 'a' ELSE 'b' END WHEN sa >= sb THEN 'a' ELSE 'b' END AS winner FROM x""")
 def conflict_winner(t):
     side = F.struct((F.col("l_suppkey") % 3).cast("int").alias("version"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("ingested_at"), (F.col("l_returnflag") == "R").alias("has_table"), F.col("l_tax").alias("score"))
-    own = t("lineitem").filter("l_orderkey % 10 = 0")
+    own = t("lineitem")
     a = own.select("l_orderkey", F.col("l_linenumber").cast("long").alias("i"), side.alias("a"))
     b = own.select("l_orderkey", F.col("l_linenumber").cast("long").alias("j"), side.alias("b"))
     return a.join(b, "l_orderkey").filter("i < j").select("l_orderkey", "i", "j", decisions.conflict_winner("a", "b")["winner"].alias("winner"))
@@ -290,11 +293,11 @@ def cacheable_and_coverage(t):
     return t("conversations").select("conv_id", "turn", ok.alias("ok"), decisions.needs_another_pass(answer, "turn", kind, "turn").alias("again"))
 
 
-@query(f"""WITH x AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id >= 5), s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) AS score FROM embeddings q, x WHERE q.vec_id < 40 AND x.label < 8)
+@query(f"""WITH x AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id >= 5), s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) AS score FROM embeddings q, x WHERE q.vec_id % 50 = 0 AND x.label < 8)
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s WHERE score > 0.95) WHERE r = 1""")
 def cache_lookup(t):
     cache = t("embeddings").filter("vec_id >= 5").select(F.col("vec_id").alias("id"), "embedding", (now() + F.expr("make_dt_interval(0, 8 - label)")).alias("expires_at"))
-    return assembly.cache_lookup(cache, _asked(t, 40), now()).select("query_id", "id", F.round("score", 6).alias("score"))
+    return assembly.cache_lookup(cache, _asked(t), now()).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CHUNKS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY coalesce(chunk_type = 'DEFINITION', false) DESC, score DESC, chunk_id) AS pos,

@@ -24,19 +24,19 @@ def exact_dup_docs(t):
 
 
 def _known(t):
-    return t("documents").filter("doc_id % 10 = 0").groupBy("source").agg(F.min_by("text", "doc_id").alias("text")).select(
+    return t("documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("text")).select(
         F.concat(F.lit("old-"), "source").alias("id"), F.col("source").alias("filename"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.lit(3).alias("version"), F.lit("active").alias("status"), now().alias("ingested_at"), F.lit(None).cast("timestamp").alias("deprecated_at"))
 
 
-@query("""WITH k AS (SELECT source AS filename, sha256(arg_min(text, doc_id)) AS content_hash, 3 AS version FROM documents WHERE doc_id % 10 = 0 GROUP BY source),
+@query("""WITH k AS (SELECT source AS filename, sha256(arg_min(text, doc_id)) AS content_hash, 3 AS version FROM documents GROUP BY source),
 k1 AS (SELECT min(filename) AS filename, content_hash, min(version) AS version FROM k GROUP BY content_hash),
-f AS (SELECT doc_id AS seq, source AS filename, sha256(text) AS content_hash, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS turn FROM documents WHERE doc_id % 3 = 0),
+f AS (SELECT doc_id AS seq, source AS filename, sha256(text) AS content_hash, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS turn FROM documents),
 n AS (SELECT f.*, coalesce(m.version, 0) + row_number() OVER (PARTITION BY f.filename ORDER BY f.seq) AS version, lead(f.seq) OVER (PARTITION BY f.filename ORDER BY f.seq) IS NULL AS latest
  FROM f LEFT JOIN k1 ON f.content_hash = k1.content_hash LEFT JOIN (SELECT filename, max(version) AS version FROM k GROUP BY filename) m ON m.filename = f.filename WHERE turn = 1 AND k1.content_hash IS NULL)
 SELECT filename, version, CASE WHEN latest THEN 'active' ELSE 'deprecated' END AS status, content_hash FROM n
 UNION ALL SELECT k.filename, k.version, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.filename = k.filename) THEN 'deprecated' ELSE 'active' END, k.content_hash FROM k""")
 def version_track(t):
-    new = t("documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("seq"), F.col("source").alias("filename"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    new = t("documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("filename"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
     after, _ = versions.track(_known(t), new, now())
     return after.select("filename", F.col("version").cast("long").alias("version"), "status", "content_hash")
 
