@@ -2,12 +2,14 @@
 
 Lines become integer ids by sorting the distinct ones. Prefix doubling then ranks line suffixes by their
 first 2, 4, ... lines: the rank of a place and that of the place half as many lines on, within the document,
-are sorted as a pair and numbered. Places whose rank is unique can't begin a repeat and leave the
-rounds. Doubling stops at the first depth of MIN_LINES or more lines (the last round adds what is
-missing to MIN_LINES), for a suffix's deeper order can't change which lines are in a repeat: an
-interval of equal ranks is one of suffixes whose common prefix has MIN_LINES lines at least. Adjacent places in such
-intervals make up the maximal repeated runs. Of each interval the first place (by doc_id and line) stays; the lines that
-any later place covers are deleted.
+are sorted as a pair and numbered (on the way to MIN_LINES, a step may be shorter). Places whose rank is unique can't
+begin a longer repeat and leave the rounds; doubling ends when none is left.
+
+Places of equal rank are an interval of the suffix array whose longest common prefix has that depth at least. Of each
+interval the first place (by doc_id and line) stays. A later place looks at the deepest interval in which it isn't first:
+its longest common prefix with that interval's first place comes from the ranks, from the deepest level down. A run
+that goes on from the line before, with the same first copy, is part of that longer run; the others are the
+maximal repeated runs, and their lines are deleted.
 
 Line text leaves the scan as two 64-bit hashes (taken with different seeds); ids number the pairs, so two
 different lines are taken as equal with a chance of 2**-128 a pair. Intervals are aggregated before
@@ -37,28 +39,55 @@ def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     return common.cut(rows.join(ranks, keys).select("doc_id", "line", "rank"))
 
 
-def repeated_places(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, line, rank): places that begin a run of ``min_lines`` lines which begins elsewhere too."""
+def levels(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+    """(depth, (doc_id, line, rank)) for growing depths: places whose next ``depth`` lines stand elsewhere too.
+
+    No depth is more than twice the one before, ``min_lines`` is one of them, and beyond the last nothing repeats.
+    """
     own = common.numbered_documents(docs)
     lines = own.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
     hashed = lines.select("doc_id", "line", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(7), "value").alias("b"))
-    ranks = _numbered(hashed, ["a", "b"])
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
+    depth, ranks = 1, _numbered(hashed, ["a", "b"])
+    found = [(depth, ranks)]
+    while depth < min_lines or ranks.limit(1).count():
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
         after = ranks.select("doc_id", (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
         ranks = _numbered(ranks.withColumnRenamed("rank", "own").join(after, ["doc_id", "line"]), ["own", "next"])
         depth += step
-    return ranks
+        found.append((depth, ranks))
+    return found
+
+
+def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_id, line, first_doc, first_line, n_lines): the maximal later copies of runs of ``min_lines`` lines or more."""
+    every = levels(docs, min_lines)
+    later = None
+    for depth, ranks in every:
+        if depth >= min_lines:
+            # Written out, so that the join is one of plain exchanges, whose large keys can be split.
+            first = common.cut(ranks.groupBy("rank").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+            own = ranks.join(first, "rank").filter(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", F.struct(F.lit(depth).alias("depth"), "first").alias("deep"))
+            later = own if later is None else later.unionByName(own)
+    later = later.groupBy("doc_id", "line").agg(F.max_by("deep", "deep.depth").alias("deep"))
+    later = later.select("doc_id", "line", F.col("deep.first.doc_id").alias("first_doc"), F.col("deep.first.line").alias("first_line"), F.col("deep.depth").alias("n_lines"))
+    before = F.lag(F.struct("line", "first_doc", "first_line")).over(Window.partitionBy("doc_id").orderBy("line"))
+    goes_on = before == F.struct((F.col("line") - 1).alias("line"), "first_doc", (F.col("first_line") - 1).alias("first_line"))
+    runs = common.cut(later.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).filter("not goes_on").drop("goes_on"))
+    for depth, ranks in reversed(every):
+        here = ranks.select("doc_id", F.col("line").alias("at"), F.col("rank").alias("here"))
+        there = ranks.select(F.col("doc_id").alias("first_doc"), F.col("line").alias("first_at"), F.col("rank").alias("there"))
+        runs = runs.withColumn("at", F.col("line") + F.col("n_lines")).withColumn("first_at", F.col("first_line") + F.col("n_lines"))
+        runs = runs.join(here, ["doc_id", "at"], "left").join(there, ["first_doc", "first_at"], "left")
+        # A deeper common prefix than the place's own interval has would be an interval of its own.
+        longer = F.coalesce((F.col("here") == F.col("there")) & (F.col("n_lines") >= depth), F.lit(False))
+        runs = common.cut(runs.select("doc_id", "line", "first_doc", "first_line", (F.col("n_lines") + F.when(longer, depth).otherwise(0)).alias("n_lines")))
+    return runs
 
 
 def later_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, line): the lines that later copies of repeated runs cover."""
-    places = repeated_places(docs, min_lines)
-    # Written out, so that the join is one of plain exchanges, whose large keys can be split.
-    first = common.cut(places.groupBy("rank").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    later = places.join(first, "rank").filter(F.struct("doc_id", "line") != F.col("first"))
-    return later.select("doc_id", F.explode(F.sequence(F.col("line"), F.col("line") + F.lit(min_lines - 1))).alias("line")).distinct()
+    runs = later_runs(docs, min_lines)
+    return runs.select("doc_id", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("line")).distinct()
 
 
 def drop_later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

@@ -40,3 +40,29 @@ def test_sql(spark, sf_mid):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_mid}/documents.parquet'")
     want = {r[0]: tuple(r[1:]) for r in con.execute(op.SQL).fetchall()}
     assert {r[0]: tuple(r)[1:] for r in op.query(spark, sf_mid).collect()} == want
+
+
+def test_maximal_runs(spark):
+    """Each run's copy is equal to its first one as far as it goes, and no line further; runs of 2 to 50 lines."""
+    import random
+
+    rnd = random.Random(9)
+    line = lambda: f"l{rnd.randrange(10**6)}"
+    runs = [[line() for _ in range(n)] for n in (2, 3, 5, 8, 13, 31, 50)]
+    docs = {}
+    for k in range(25):
+        text = [line() for _ in range(rnd.randrange(4))]
+        for _ in range(rnd.randrange(1, 4)):
+            run = rnd.choice(runs)
+            cut = rnd.randrange(len(run) - 1)
+            text += run[cut:] + [line() for _ in range(rnd.randrange(3))]
+        docs[k] = text
+    df = spark.createDataFrame([(k, "\n".join(x)) for k, x in docs.items()], "doc_id bigint, text string")
+    for m in (2, 3):
+        found = op.later_runs(df, m).collect()
+        assert found and max(r.n_lines for r in found) > 20
+        for r in found:
+            a, b, n = docs[r.doc_id][r.line :], docs[r.first_doc][r.first_line :], r.n_lines
+            assert n >= m and a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
+            assert (r.first_doc, r.first_line) < (r.doc_id, r.line)
+        assert got(op.drop_later_runs(df, m)) == brute([(k, "\n".join(x)) for k, x in docs.items()], m)
