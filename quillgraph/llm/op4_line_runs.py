@@ -96,7 +96,8 @@ def drop_later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     begins = F.when(F.col("line") == F.lag("line").over(by_line) + 1, 0).otherwise(1)
     gone = later_lines(docs, min_lines).withColumn("begins", begins)
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"), F.sum("begins").alias("n_runs"))
-    own = common.numbered_documents(docs).join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
+    # The same join at every size, for what is gone grows with the documents.
+    own = common.numbered_documents(docs).join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
     index = F.sequence(F.lit(0), F.size("lines") - 1)
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(F.array_except(index, "gone"), lambda i: F.get("lines", i)), "\n")
