@@ -2,6 +2,12 @@
 
 Stages take (spark, docs, sf_dir), work on all rows that the one before kept, and return the columns of
 ``docs``; the last one returns the index of the token files it has written.
+
+Defined cases: a row whose text is null, empty or without a letter has no language and goes in the first stage; a
+row without doc_id can't be judged as a duplicate and goes in the second; rows that share a doc_id are one document with
+the least text, stay or go together until the last stage, and give one row there; ties go to the least doc_id; other
+columns pass through all stages but the last, whatever their names; an empty table gives no rows; texts of any length
+are taken whole.
 """
 
 from __future__ import annotations
