@@ -9,7 +9,8 @@ Places of equal rank are an interval of the suffix array whose longest common pr
 interval the first place (by doc_id and line) stays. A later place looks at the deepest interval in which it isn't first:
 its longest common prefix with that interval's first place comes from the ranks, from the deepest level down. A run
 that goes on from the line before, with the same first copy, is part of that longer run; the others are the
-maximal repeated runs, and their lines are deleted.
+maximal repeated runs. Those of MIN_LINES lines or more are deleted, and of shorter ones each later line that has
+LONG_WORDS words by itself: a paragraph says enough alone, where a short line may stand in many texts by chance.
 
 Line text leaves the scan as two 64-bit hashes (taken with different seeds); ids number the pairs, so two
 different lines are taken as equal with a chance of 2**-128 a pair. Intervals are aggregated before
@@ -28,26 +29,31 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 MIN_LINES = 2
+LONG_WORDS = 50
 
 
-def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` that share their ``keys`` with another, with the keys' number in sorted order as ``rank``."""
+def _numbered(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """``rows`` that share their ``keys`` with another, with the keys' number in sorted order as ``rank``, and columns ``more``."""
     spark = rows.sparkSession
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     ordered = groups.repartitionByRange(common.partitions(spark), *keys).sortWithinPartitions(*keys)
     ranks = common.cut(ordered.select(*keys, F.monotonically_increasing_id().alias("rank")))
-    return common.cut(rows.join(ranks, keys).select("doc_id", "line", "rank"))
+    return common.cut(rows.join(ranks, keys).select("doc_id", "line", "rank", *more))
 
 
-def levels(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+def levels(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> list[tuple[int, DataFrame]]:
     """(depth, (doc_id, line, rank)) for growing depths: places whose next ``depth`` lines stand elsewhere too.
 
     No depth is more than twice the one before, ``min_lines`` is one of them, and beyond the last nothing repeats.
+    The first level also says which lines are ``long``, that is of ``long_words`` words or more.
     """
     own = common.numbered_documents(docs)
     lines = own.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
-    hashed = lines.select("doc_id", "line", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(7), "value").alias("b"))
-    depth, ranks = 1, _numbered(hashed, ["a", "b"])
+    words = F.size(F.regexp_extract_all("value", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    # So many words have at least as many letters, and a space between each two.
+    long = F.when(F.length("value") < 2 * long_words - 1, False).otherwise(words >= long_words)
+    hashed = lines.select("doc_id", "line", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(7), "value").alias("b"), long.alias("long"))
+    depth, ranks = 1, _numbered(hashed, ["a", "b"], "long")
     found = [(depth, ranks)]
     while depth < min_lines or ranks.limit(1).count():
         step = min(depth, min_lines - depth) if depth < min_lines else depth
@@ -58,15 +64,23 @@ def levels(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataF
     return found
 
 
+def _later(ranks: DataFrame) -> DataFrame:
+    """(doc_id, line, first): the places that aren't the first of their rank, and the place that is."""
+    # Written out, so that the join is one of plain exchanges, whose large keys can be split.
+    first = common.cut(ranks.groupBy("rank").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+    return ranks.join(first, "rank").filter(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", "first")
+
+
 def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, line, first_doc, first_line, n_lines): the maximal later copies of runs of ``min_lines`` lines or more."""
-    every = levels(docs, min_lines)
+    return _runs(levels(docs, min_lines), min_lines)
+
+
+def _runs(every: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame:
     later = None
     for depth, ranks in every:
         if depth >= min_lines:
-            # Written out, so that the join is one of plain exchanges, whose large keys can be split.
-            first = common.cut(ranks.groupBy("rank").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-            own = ranks.join(first, "rank").filter(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", F.struct(F.lit(depth).alias("depth"), "first").alias("deep"))
+            own = _later(ranks).select("doc_id", "line", F.struct(F.lit(depth).alias("depth"), "first").alias("deep"))
             later = own if later is None else later.unionByName(own)
     later = later.groupBy("doc_id", "line").agg(F.max_by("deep", "deep.depth").alias("deep"))
     later = later.select("doc_id", "line", F.col("deep.first.doc_id").alias("first_doc"), F.col("deep.first.line").alias("first_line"), F.col("deep.depth").alias("n_lines"))
@@ -84,17 +98,19 @@ def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return runs
 
 
-def later_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, line): the lines that later copies of repeated runs cover."""
-    runs = later_runs(docs, min_lines)
-    return runs.select("doc_id", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("line")).distinct()
+def later_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, line): the lines that later copies of repeated runs cover, and later copies of long lines."""
+    every = levels(docs, min_lines, long_words)
+    runs = _runs(every, min_lines)
+    covered = runs.select("doc_id", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n_lines") - 1)).alias("line"))
+    return covered.unionByName(_later(every[0][1].filter("long")).select("doc_id", "line")).distinct()
 
 
-def drop_later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_runs, kept_text) for every document; runs are maximal ones."""
+def drop_later_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_runs, kept_text) for every document; a run is a stretch of removed lines."""
     by_line = Window.partitionBy("doc_id").orderBy("line")
     begins = F.when(F.col("line") == F.lag("line").over(by_line) + 1, 0).otherwise(1)
-    gone = later_lines(docs, min_lines).withColumn("begins", begins)
+    gone = later_lines(docs, min_lines, long_words).withColumn("begins", begins)
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"), F.sum("begins").alias("n_runs"))
     # The same join at every size, for what is gone grows with the documents.
     own = common.numbered_documents(docs).join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
@@ -116,7 +132,9 @@ l AS (SELECT doc_id, unnest(lines) AS value, unnest(range(len(lines))) AS line F
 w AS (SELECT doc_id, line, value, lead(value) OVER (PARTITION BY doc_id ORDER BY line) AS next,
       lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS more FROM l),
 f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY value, next ORDER BY doc_id, line) AS turn FROM w WHERE more IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, line + k AS line FROM f, (VALUES (0), (1)) AS v(k) WHERE turn > 1),
+o AS (SELECT doc_id, line, row_number() OVER (PARTITION BY value ORDER BY doc_id, line) AS turn FROM l
+      WHERE len(regexp_extract_all(value, '[^\x20\x09-\x0D]+')) >= 50),
+g AS (SELECT doc_id, line + k AS line FROM f, (VALUES (0), (1)) AS v(k) WHERE turn > 1 UNION SELECT doc_id, line FROM o WHERE turn > 1),
 r AS (SELECT doc_id, line, CASE WHEN line = lag(line) OVER (PARTITION BY doc_id ORDER BY line) + 1 THEN 0 ELSE 1 END AS begins FROM g),
 s AS (SELECT doc_id, count(*) AS n_removed, sum(begins) AS n_runs FROM r GROUP BY doc_id),
 k AS (SELECT l.doc_id, string_agg(l.value, chr(10) ORDER BY l.line) AS kept FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)

@@ -66,3 +66,16 @@ def test_maximal_runs(spark):
             assert n >= m and a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
             assert (r.first_doc, r.first_line) < (r.doc_id, r.line)
         assert got(op.drop_later_runs(df, m)) == brute([(k, "\n".join(x)) for k, x in docs.items()], m)
+
+
+def test_long_lines(spark):
+    """Later copies of a single line go if it has enough words, whatever stands around it; shorter ones stay."""
+    long, short = " ".join(f"w{k}" for k in range(50)), " \t ".join(f"w{k}" for k in range(49))
+    spaced = long.replace(" ", " \t\x0b ")
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, f"{short}\nx"), (5, f"y\n{short}"), (6, f"{spaced}\nz"), (7, f"q\n{spaced}\n{spaced}\na"), (8, f"a\n{long}\ne")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "true as long", "1 as words")
+    kept = {i: r[3] for i, r in got(op.drop_later_runs(df)).items()}
+    # Document 8 begins with a run of two lines that stands in document 1.
+    assert kept == {1: rows[0][1], 2: "c\nd", 3: "", 4: rows[3][1], 5: rows[4][1], 6: rows[5][1], 7: "q\na", 8: "e"}
+    assert {i: r[1:3] for i, r in got(op.drop_later_runs(df, 2, 10**6)).items()} == {i: r[1:3] for i, r in brute(rows, 2).items()}
+    assert {r.doc_id: r.n_lines for r in op.later_runs(df).collect()} == {8: 2}
