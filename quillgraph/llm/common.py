@@ -56,16 +56,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v``, which is nobody's ``u``: then every pair names a node and its component."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up + root > 1").limit(1).count()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node of an edge.
 
-    Alternates the large-star and small-star steps, both as aggregate and join, until the edge set
-    is stable. Each round is written out, so a lost executor costs one round.
+    Alternates the large-star and small-star steps, both as aggregate and join, until only stars are
+    left. Each round is written out, so a lost executor costs one round.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    pairs = cut(pairs)
-    last = None
-    while True:
+    pairs = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    while not _are_stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -74,12 +78,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         pairs = cut(small.filter("u <> v").distinct())
-        seen = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if last == (seen["n"], seen["h"]):
-            break
-        last = (seen["n"], seen["h"])
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return cut(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+
+
+def merge_components(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` (node, component) after ``edges`` (a, b) more; only the components that they name are worked on."""
+    own = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    between = edges.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    merged = connected_components(between.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    old = found.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return cut(old.unionByName(merged.join(found, "node", "left_anti")))
 
 
 def first_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:

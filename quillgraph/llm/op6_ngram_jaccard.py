@@ -261,7 +261,7 @@ def _passes(left: str, right: str):
 
 def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The lists that have entries of different components, with each entry's component and the list's size."""
-    placed = lists.drop("size", "head").join(found, F.col("e.doc_id") == F.col("node"), "left").select("tok", "e", F.coalesce("component", F.col("e.doc_id")).alias("comp"))
+    placed = lists.select("tok", "e").join(found, F.col("e.doc_id") == F.col("node"), "left").select("tok", "e", F.coalesce("component", F.col("e.doc_id")).alias("comp"))
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("tok", "size")
     return common.cut(placed.join(mixed, "tok"))
 
@@ -403,12 +403,12 @@ def components(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES, count_links:
     near = parts.select(F.col("e").alias("y"), F.lag("e").over(Window.partitionBy(*by).orderBy("e")).alias("before"), "head")
     near = near.select("y", F.explode(F.array("before", "head")).alias("x")).filter("x is not null")
     tried = common.cut(_pairs(near))
-    links = common.cut(_verify(tried, chief))
-    found = common.connected_components(links)
+    found = common.connected_components(common.cut(_verify(tried, chief)))
 
     # Neighbours in other orders, as long as that joins components: a few entries for each one of a list.
     for turn in range(SHUFFLED_ROUNDS):
-        parts, by = _split(_mixed(lists, found), turn)
+        lists = _mixed(lists, found)  # lists of one component stay so
+        parts, by = _split(lists, turn)
         shuffled = Window.partitionBy(*by).orderBy(F.xxhash64("e.doc_id", F.lit(turn)), "e.doc_id")
         near = parts.select(F.col("e").alias("y"), F.col("comp").alias("cy"), F.array(*[F.lag(F.struct("e", "comp"), k).over(shuffled) for k in (1, 2, 3)]).alias("near"))
         near = near.select("y", "cy", F.explode("near").alias("near")).filter("near.comp <> cy").select("y", F.col("near.e").alias("x"))
@@ -417,15 +417,13 @@ def components(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES, count_links:
         tried = tried.unionByName(fresh)
         if not more.limit(1).count():
             break
-        links = common.cut(links.unionByName(more))
-        found = common.connected_components(links)
+        found = common.merge_components(found, more)
 
     # What is left: all pairs of one list in different components.
     fresh = common.cut(_left_pairs(_mixed(lists, found)).join(tried, ["a", "b"], "left_anti"))
     more = common.cut(_verify(fresh, chief))
     if more.limit(1).count():
-        links = links.unionByName(more)
-        found = common.connected_components(links)
+        found = common.merge_components(found, more)
     out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id"]
     if count_links:
         found = found.join(_links(chief, found).withColumnRenamed("class_id", "node"), "node", "left")
