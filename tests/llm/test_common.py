@@ -28,3 +28,12 @@ def test_first_by_hash(spark):
     got = common.first_by_hash(df, "kind", "id", 40).collect()
     order = {k: [r.id for r in df.filter(f"kind = {k}").selectExpr("id", "xxhash64(id) h").orderBy("h").limit(40).collect()] for k in (True, False)}
     assert {(r.kind, r.id) for r in got} == {(k, i) for k, ids in order.items() for i in ids}
+
+
+def test_merge_components(spark):
+    df = lambda edges: spark.createDataFrame(edges, "a bigint, b bigint")
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (21, 5), (7, 8), (8, 7), (1, 3)]
+    found = common.connected_components(df(first))
+    rows = lambda x: sorted(map(tuple, x.select("node", "component").collect()))
+    assert rows(common.merge_components(found, df(more))) == rows(common.connected_components(df(first + more)))
+    assert rows(common.merge_components(found, df([]))) == rows(found)
