@@ -12,6 +12,7 @@ from quillgraph.llm import op7_language_id as op7
 from quillgraph.llm import op8_decontamination as op8
 from quillgraph.llm import op9_suffix_dedup as op9
 from quillgraph.llm import op10_token_output as op10
+from quillgraph.llm import op11_bpe_monoid as op11
 
 QUERIES = {
     "op1_chat_snapshots": op1.query,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8.query,
     "op9_suffix_dedup": op9.query,
     "op10_token_output": op10.query,
+    "op11_bpe_monoid": op11.query,
 }
 
 ORACLE_SQL = {
