@@ -13,6 +13,8 @@ from quillgraph.llm import op8_decontamination as op8
 from quillgraph.llm import op9_suffix_dedup as op9
 from quillgraph.llm import op10_token_output as op10
 from quillgraph.llm import op11_bpe_monoid as op11
+from quillgraph.llm import op12_hard_negatives as op12
+from quillgraph.llm import op13_importance_resampling as op13
 
 QUERIES = {
     "op1_chat_snapshots": op1.query,
@@ -26,10 +28,13 @@ QUERIES = {
     "op9_suffix_dedup": op9.query,
     "op10_token_output": op10.query,
     "op11_bpe_monoid": op11.query,
+    "op12_hard_negatives": op12.query,
+    "op13_importance_resampling": op13.query,
 }
 
 ORACLE_SQL = {
     "op1_chat_snapshots": op1.SQL,
     "op3_block_naming": op3.SQL,
     "op4_line_runs": op4.SQL,
+    "op12_hard_negatives": op12.SQL,
 }
