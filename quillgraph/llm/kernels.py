@@ -18,23 +18,35 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Hashes are polynomials modulo a prime in two independent random bases (a power of two as modulus would let
+#: structured strings collide in any base): two strings of n bytes collide with a chance of (n / 2**31) ** 2 at most.
+PRIME, BITS = np.uint64(2**31 - 1), np.uint64(31)
 _rng = np.random.default_rng(20240607)
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+BASES = [int(x) for x in _rng.integers(2**29, 2**31 - 2, 2)]
+BYTE_CODE = _rng.integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
 SLOT = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2**64 for i up to n."""
-    if len(_powers["up"]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for key, base in (("up", BASE), ("down", BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & PRIME) + (x >> BITS)
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME, for any 64 bits."""
+    x = _fold(_fold(_fold(x)))
+    return x - PRIME * (x >= PRIME)
+
+
+def powers(n: int, k: int, sign: int) -> np.ndarray:
+    """BASES[k] ** (sign * i) modulo PRIME for i up to n."""
+    if len(_powers.get((k, sign), ())) <= n:
+        own = np.ones(1, np.uint64)
+        while len(own) <= max(n, SLICE_BYTES):
+            step = pow(BASES[k], sign * len(own), int(PRIME))
+            own = np.concatenate([own, residue(own * np.uint64(step))])
+        _powers[k, sign] = own
+    return _powers[k, sign]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,17 +59,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of all prefixes; ``substring`` takes differences of them."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=out[1:])
+    """Polynomial hashes of all prefixes, a row for each base; ``substring`` takes differences of them."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    for k in range(2):
+        np.cumsum(_fold(BYTE_CODE[k][data] * powers(len(data), k, 1)[: len(data)]), out=out[k, 1:])
     return out
 
 
 def substring(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end], the same wherever that content stands."""
-    _, down = powers(len(prefix))
-    return (prefix[end] - prefix[start]) * down[start]
+    """Hash of data[start:end] in 62 bits, the same wherever that content stands."""
+    one, two = (residue(residue(prefix[k][end] - prefix[k][start]) * powers(prefix.shape[1], k, -1)[start]) for k in range(2))
+    return (one << BITS) | two
+
+
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
+
+
+def rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of ``n`` bytes, the same for equal runs. It chooses places only: different runs may share one."""
+    held = BYTE_CODE[0][data]
+    out, size, at, step = np.zeros(max(0, len(data) - n + 1), np.uint64), 1, 0, _ROLL
+    while len(out):
+        if n & size:
+            out = out * step + held[at : at + len(out)]
+            at += size
+        if 2 * size > n:
+            break
+        held = held[: len(held) - size] * step + held[size:]
+        size, step = 2 * size, np.uint64(int(step) ** 2 % 2**64)
+    return mix(out)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

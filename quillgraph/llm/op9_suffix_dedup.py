@@ -18,7 +18,8 @@ once and gets the answers in the order asked, so a passage that a third of the c
 entry for each batch in its bucket.
 
 Only classes of equal order matter for the result, so the order within buckets is that of hashes and not
-of bytes. They have 64 bits: two different strings are taken as equal with a chance of 2**-64 a pair.
+of bytes. They have 62 bits in two random bases: two different strings of n bytes are taken as equal with a chance of
+(n / 2**31) ** 2 at most.
 
 Defined cases: null or empty texts and those under 400 bytes have nothing removed unless they are long
 enough; rows that share a doc_id are one document with the least text; a null doc_id is left out; other
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common
-from quillgraph.llm.kernels import SLOT, mix, prefix_hash, slices, substring
+from quillgraph.llm.kernels import SLOT, mix, prefix_hash, rolling, slices, substring
 
 LENGTH = 400
 GRAM = 24
@@ -70,7 +71,7 @@ class Part:
         if starts <= 0:
             return
         place = np.arange(len(data) - GRAM + 1, dtype=np.int64)
-        rolled = (mix(substring(self.prefix, place, place + GRAM)) >> np.uint64(31)) << np.uint64(31)
+        rolled = (rolling(data, GRAM) >> np.uint64(31)) << np.uint64(31)
         left = (_least(rolled | place.astype(np.uint64)) & _PLACE).astype(np.int64)[:starts]
         right = (_PLACE - (_least(rolled | (_PLACE - place.astype(np.uint64))) & _PLACE)).astype(np.int64)
         right = right[LENGTH - GRAM - WINDOW + 1 :][:starts]
