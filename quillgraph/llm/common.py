@@ -52,6 +52,17 @@ def numbered_documents(docs: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else own
 
 
+def sheltered(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and a struct ``rest`` of all others, so helper columns can't clash with those."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(rest or [F.lit(0).alias("none")])).alias("rest"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The rows of a sheltered frame with the columns of ``docs`` again."""
+    return rows.select(*[F.col(c) if c in own else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
 
 
 def posteriors(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
-    """``docs`` with __words and the posterior of each domain."""
+    """``docs`` with __words and the posterior of each domain; columns of these names that it has already are replaced."""
+    docs = docs.drop("__words", *[f"__p_{d}" for d in DOMAINS], "__rate", "__copies")
 
     def work(part, data, at):
         words = Words(data, at)
@@ -133,9 +134,12 @@ def _rate(steps: list[np.ndarray]) -> Column:
 
 
 def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> tuple[list[np.ndarray], float, dict]:
-    """The steps of the descent, the unit of words, and what came out: totals before, after, and targets."""
+    """The steps of the descent, the unit of words, and what came out: totals before, after, and targets.
+
+    ``found`` is read once for each step, so it should be written out.
+    """
     share = np.array([(targets or TARGETS)[d] for d in DOMAINS])
-    small = common.cut(found.select("__words", *[f"__p_{d}" for d in DOMAINS]))
+    small = found
     first = small.agg(F.avg("__words").alias("m"), *[F.sum(F.col("__words") * F.col(f"__p_{d}")).alias(d) for d in DOMAINS]).first()
     scale = float(first["m"] or 0) or 1.0
     before = np.array([float(first[d] or 0) for d in DOMAINS]) / scale
@@ -161,13 +165,17 @@ def fit_rates(found: DataFrame, targets: dict[str, float] | None = None) -> tupl
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with __words, the posteriors, __rate and __copies."""
+    """``docs`` with __words, the posteriors, __rate and __copies; texts are looked at twice, for they aren't written out."""
     found = posteriors(docs, fit(docs, labels))
-    steps, scale, _ = fit_rates(found, targets)
+    steps, _, _ = fit_rates(common.cut(found.select("__words", *[f"__p_{d}" for d in DOMAINS])), targets)
+    return rated(found, steps)
+
+
+def rated(found: DataFrame, steps: list[np.ndarray]) -> DataFrame:
     left = F.col("__rate") - F.floor("__rate")
     bound = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1_000_000)) + 0.5) / 1_000_000.0
-    rated = found.withColumn("__rate", F.round(F.when(F.col("__words") == 0, F.lit(1.0)).otherwise(_rate(steps)), 6))
-    return rated.withColumn("__copies", (F.floor("__rate") + F.when(left > bound, 1).otherwise(0)).cast("long"))
+    with_rate = found.withColumn("__rate", F.round(F.when(F.col("__words") == 0, F.lit(1.0)).otherwise(_rate(steps)), 6))
+    return with_rate.withColumn("__copies", (F.floor("__rate") + F.when(left > bound, 1).otherwise(0)).cast("long"))
 
 
 def take(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,9 +183,11 @@ def take(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A row is kept once here: whoever samples from the result repeats it by the rate.
     """
-    return mix(docs, labels).filter("__copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = ("doc_id", "text")
+    return common.restored(mix(common.sheltered(docs, *own), labels).filter("__copies > 0"), docs, *own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", F.col("__words").alias("n_words"), *[F.col(f"__p_{d}").alias(f"p_{d}") for d in DOMAINS], F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = common.cut(posteriors(docs, fit(docs, common.table(spark, sf_dir, "labels"))).drop("text"))
+    return rated(found, fit_rates(found)[0]).select("doc_id", F.col("__words").alias("n_words"), *[F.col(f"__p_{d}").alias(f"p_{d}") for d in DOMAINS], F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))

@@ -436,8 +436,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     All rows of that doc_id stay, for they are one document; rows without a doc_id can't be judged and go.
     """
-    kept = components(docs, count_links=False).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
+    kept = components(docs, count_links=False).filter("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

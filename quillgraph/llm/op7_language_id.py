@@ -154,7 +154,9 @@ def annotate(docs: DataFrame, model=None, names: tuple[str, str, str] = ("lang_p
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
-    return annotate(docs, names=("__lang_pred", "__lang_score", "__lang_rejected")).filter("not __lang_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = ("doc_id", "lang", "text")
+    found = annotate(common.sheltered(docs, *own), model=fit(docs))
+    return common.restored(found.filter("not rejected"), docs, *own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,7 +167,12 @@ def _search(docs: DataFrame, index: Index, names: list[str]) -> DataFrame:
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with __n_items, __best_item and __best_score of the alignments that reach THRESHOLD."""
+    """``docs`` with __n_items, __best_item and __best_score of the alignments that reach THRESHOLD.
+
+    Columns of these names that ``docs`` has already are replaced.
+    """
+    docs = docs.drop("__n_items", "__best_item", "__best_score")
+    whole, docs = docs, common.sheltered(docs, "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(size["n"] // block_items, (size["bytes"] or 0) // block_bytes) + 1
@@ -184,7 +189,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITE
         out = _search(out, index, [f"__n_{k}", f"__item_{k}", f"__score_{k}"])
     best = F.array_max(F.array(*[F.struct(F.col(f"__score_{k}").alias("score"), (-F.col(f"__item_{k}")).alias("item")) for k in range(blocks)]))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in whole.columns],
         sum((F.col(f"__n_{k}") for k in range(1, blocks)), F.col("__n_0")).alias("__n_items"),
         (-best["item"]).alias("__best_item"),
         best["score"].alias("__best_score"),
@@ -193,7 +198,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITE
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    return annotate(docs, benchmark).filter("__n_items = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = annotate(common.sheltered(docs, "text"), benchmark)
+    return common.restored(found.filter("__n_items = 0"), docs, "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
