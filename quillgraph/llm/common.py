@@ -35,7 +35,6 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what has just been written
     return spark.read.schema(df.schema).parquet(path)
 
 
