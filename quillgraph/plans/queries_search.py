@@ -95,11 +95,9 @@ def vec_hybrid_concat(t):
 ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.25 WHERE a.vec_id % 50 = 0""")
 def vec_pairwise_similar(t):
     e = t("embeddings")
-    asked = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    n = e.count()
-    found = retrieval.nearest(e, asked, n, "vec_id", "embedding", above=0.25 - 1e-12)
-    both = found.join(e.select("vec_id", "label"), "vec_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").filter("label = own and query_id < vec_id")
-    return both.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 6).alias("score"))
+    asked = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), "label")
+    found = retrieval.nearest(e, asked, None, "vec_id", "embedding", above=0.25 - 1e-12, same="label")
+    return found.filter("query_id < vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {LEXEMES}, {ASKED} SELECT q.query_id, p.chunk_id, CAST(sum(p.n) AS BIGINT) AS hits FROM p JOIN q ON p.lexeme = q.lexeme JOIN k ON q.query_id = k.query_id GROUP BY q.query_id, p.chunk_id, k.wanted HAVING count(*) = k.wanted")
@@ -166,9 +164,8 @@ def rrf_fusion(t):
 @query(f"WITH {SCORES} SELECT chunk_id, query_id AS best_query, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, query_id) AS r FROM s WHERE score > 0.2) WHERE r = 1")
 def multi_query_merge(t):
     """Several phrasings of one query: each chunk once, with its best score."""
-    found = retrieval.nearest(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _asked(t), None, above=0.2)
-    own = found.select(F.lit(0).alias("one"), "chunk_id", "score", F.col("query_id").alias("seq"))
-    return retrieval.dedup_best(own, by="one").select("chunk_id", F.col("seq").alias("best_query"), F.round("score", 6).alias("score"))
+    found = retrieval.best_query(t("embeddings").withColumnRenamed("vec_id", "chunk_id"), _asked(t), above=0.2)
+    return found.select("chunk_id", F.col("query_id").alias("best_query"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {CHUNKS_SQL}, r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos, doc_id, n_chars FROM documents) SELECT lang, doc_id, n_chars FROM r WHERE pos = 1")
