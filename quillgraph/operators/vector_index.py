@@ -54,11 +54,12 @@ class Cells:
 
 @dataclass
 class VectorIndex:
-    """``rows`` (cell, item, unit) in files, and what is known of the cells."""
+    """``rows`` (cell, item, unit and ``same``, if given) in files, and what is known of the cells."""
 
     rows: DataFrame
     item: str
     cells: Cells
+    same: str | None = None
 
 
 def _centres(x: np.ndarray, cells: int, seed: int) -> np.ndarray:
@@ -73,10 +74,13 @@ def _centres(x: np.ndarray, cells: int, seed: int) -> np.ndarray:
     return centre
 
 
-def build(vectors: DataFrame, item: str, vector: str = "embedding", cells: int | None = None, seed: int = 17) -> VectorIndex:
-    """Vectors that are null take no part. ``cells`` is about the square root of their number, unless it is given."""
+def build(vectors: DataFrame, item: str, vector: str = "embedding", cells: int | None = None, seed: int = 17, same: str | None = None) -> VectorIndex:
+    """Vectors that are null take no part. ``cells`` is about the square root of their number, unless it is given.
+
+    With ``same``, a string column, queries meet only members that are equal to them in it.
+    """
     spark = vectors.sparkSession
-    own = vectors.select(item, F.col(vector).cast("array<double>").alias("vec")).filter("vec is not null")
+    own = vectors.select(item, F.col(vector).cast("array<double>").alias("vec"), *([same] if same else [])).filter("vec is not null")
     total = own.count()
     cells = max(1, min(MAX_CELLS, cells or round(total**0.5)))
     sample = own.orderBy(F.xxhash64(item)).limit(SAMPLE).select("vec").toArrow()  # SAMPLE rows at most
@@ -91,19 +95,19 @@ def build(vectors: DataFrame, item: str, vector: str = "embedding", cells: int |
             cell = (u @ centres.T).argmax(1) if none else np.zeros(len(u), int)
             cell[~u.any(1)] = none
             close = np.where(cell < none, (u * np.vstack([centres, np.zeros(u.shape[1])])[cell]).sum(1), 1.0) if len(u) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0), pa.array(list(u), pa.list_(pa.float64())), pa.array(close)], names=["cell", item, "unit", "close"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0), pa.array(list(u), pa.list_(pa.float64())), pa.array(close), *batch.columns[2:]], names=["cell", item, "unit", "close", *([same] if same else [])])
 
     kind = vectors.schema[item].dataType.simpleString()
-    dealt = own.mapInArrow(assign, f"cell int, `{item}` {kind}, unit array<double>, close double")
+    dealt = own.mapInArrow(assign, f"cell int, `{item}` {kind}, unit array<double>, close double" + (f", `{same}` string" if same else ""))
     dealt = dealt.withColumn("turn", F.pmod(F.xxhash64(item), F.lit(blocks)))
     rows = settled(dealt.repartitionByRange("cell", "turn").sortWithinPartitions("cell"))
     sizes, least = np.zeros(none + 1, np.int64), np.ones(none + 1)
     for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("close").alias("least")).collect():  # a row for each cell
         sizes[r["cell"]], least[r["cell"]] = r["n"], r["least"]
-    return VectorIndex(rows, item, Cells(np.vstack([centres, np.zeros((1, centres.shape[1]))]), sizes, np.arccos(np.clip(least, -1, 1)) + SLACK))
+    return VectorIndex(rows, item, Cells(np.vstack([centres, np.zeros((1, centres.shape[1]))]), sizes, np.arccos(np.clip(least, -1, 1)) + SLACK), same)
 
 
-def _plan(cells: Cells, id_type: T.DataType, k: int | None, above: float | None, first: bool):
+def _plan(cells: Cells, id_type: T.DataType, k: int | None, above: float | None, first: bool, same: str | None = None):
     """The cells that a query meets: the nearest ones, or those that a known score (``least``) doesn't rule out."""
     live = cells.sizes > 0
 
@@ -126,10 +130,11 @@ def _plan(cells: Cells, id_type: T.DataType, k: int | None, above: float | None,
                 if first:
                     met &= nearest
                 else:
-                    least = batch.column(2).to_numpy(zero_copy_only=False)
+                    least = batch.column("least").to_numpy(zero_copy_only=False)
                     met &= ~nearest & (most >= np.where(np.isnan(least), -2.0, least)[:, None])
             row, cell = np.nonzero(met)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0).take(pa.array(row)).cast(dense.arrow_type(id_type)), batch.column(1).take(pa.array(row))], names=["cell", "query_id", "vec"])
+            more = [batch.column(same).take(pa.array(row))] if same else []
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0).take(pa.array(row)).cast(dense.arrow_type(id_type)), batch.column(1).take(pa.array(row)), *more], names=["cell", "query_id", "vec", *([same] if same else [])])
 
     return run
 
@@ -137,13 +142,13 @@ def _plan(cells: Cells, id_type: T.DataType, k: int | None, above: float | None,
 def _meet(index: VectorIndex, asked: DataFrame, k: int | None, above: float | None) -> DataFrame:
     """(query_id, item, score, met) for queries and the cells they meet; ``met`` counts the vectors compared, once a group."""
     spark = asked.sparkSession
-    item, id_type = index.item, asked.schema["query_id"].dataType
+    item, id_type, same = index.item, asked.schema["query_id"].dataType, [index.same] if index.same else []
     wanted = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each cell
     parts = spark.createDataFrame([(int(c), int(index.cells.sizes[c] // BLOCK + 1), int(n // BLOCK + 1)) for c, n in wanted.items()], "cell int, blocks int, sides int")
     asked = asked.join(F.broadcast(parts), "cell")
-    left = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("sides")).cast("int").alias("side"), "query_id", "vec")
+    left = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("sides")).cast("int").alias("side"), "query_id", "vec", *same)
     members = index.rows.filter(F.col("cell").isin([int(c) for c in wanted])).join(F.broadcast(parts), "cell")
-    right = members.select("cell", F.pmod(F.xxhash64(item, F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), item, "unit")
+    right = members.select("cell", F.pmod(F.xxhash64(item, F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), item, "unit", *same)
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField(item, index.rows.schema[item].dataType), T.StructField("score", T.DoubleType()), T.StructField("met", T.LongType())])
     kinds = [dense.arrow_type(f.dataType) for f in schema.fields[:2]]
 
@@ -164,7 +169,7 @@ def _meet(index: VectorIndex, asked: DataFrame, k: int | None, above: float | No
         types = [*kinds, pa.float64(), pa.int64()]
         return pa.table([pa.chunked_array(held, t) for held, t in zip(out, types, strict=True)], names=schema.names)
 
-    keys = ["cell", "block", "side"]
+    keys = ["cell", "block", "side", *same]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
@@ -190,8 +195,9 @@ def search(index: VectorIndex, queries: DataFrame, k: int, above: float | None =
 
 
 def within(index: VectorIndex, queries: DataFrame, above: float) -> DataFrame:
-    """(query_id, item, score, met) of all items whose cosine is ``above``."""
+    """(query_id, item, score, met) of all items whose cosine is ``above``; ``queries`` have the index's ``same`` column, if it has one."""
+    same = [index.same] if index.same else []
     id_type = queries.schema["query_id"].dataType
-    planned = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("query_id", id_type), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    own = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
-    return _meet(index, settled(own.mapInArrow(_plan(index.cells, id_type, None, above, True), planned)), None, above)
+    planned = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("query_id", id_type), T.StructField("vec", T.ArrayType(T.DoubleType())), *(T.StructField(c, T.StringType()) for c in same)])
+    own = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"), *same).filter("vec is not null")
+    return _meet(index, settled(own.mapInArrow(_plan(index.cells, id_type, None, above, True, index.same), planned)), None, above)
