@@ -12,10 +12,10 @@ def track(known: DataFrame, files: DataFrame, now: Column) -> tuple[DataFrame, D
     A file whose hash is known, or came earlier in the batch, is a duplicate. Others get the next versions of
     their filename in order of ``seq``, and only the last of these is active.
     """
-    first = Window.partitionBy("content_hash").orderBy("seq")
-    rows = files.withColumn("__turn", F.row_number().over(first))
+    first = files.groupBy("content_hash").agg(F.min("seq").alias("__first"))
+    rows = files.join(first, "content_hash")
     rows = rows.join(known.select("content_hash", F.col("id").alias("__known"), F.col("version").alias("__version")), "content_hash", "left")
-    rows = rows.withColumn("is_new", F.col("__known").isNull() & (F.col("__turn") == 1))
+    rows = rows.withColumn("is_new", F.col("__known").isNull() & (F.col("seq") == F.col("__first")))
     top = known.groupBy("filename").agg(F.max("version").alias("__top"))
     by_name = Window.partitionBy("filename").orderBy("seq")
     fresh = rows.filter("is_new").join(top, "filename", "left")

@@ -20,7 +20,7 @@ from quillgraph.operators import chunking, community, entity_dedup, graph, graph
 from quillgraph.plans.providers import Providers, retried
 from quillgraph.schemas import METADATA
 from quillgraph.sources import files
-from quillgraph.sources.catalog import Catalog, settled, update, upsert
+from quillgraph.sources.catalog import Catalog, settled, update
 
 
 def coref(chunks: DataFrame, providers: Providers, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -144,16 +144,19 @@ class Ingestion:
         docs = settled(after.join(work, "id", "left_semi"))
         chunks = settled(chunking.chunk_documents(docs.select(F.col("id").alias("document_id"), F.col("full_markdown").alias("markdown")), self.config))
         chunks = settled(enriched(coref(chunks, self.providers, self.config), docs, self.providers, self.now(), self.config))
-        self.catalog.write("documents", after)
+        was = known.select("id", F.col("status").alias("__was"))
+        self.catalog.upsert("documents", after.join(was, "id", "left").filter("__was is null or __was <> status"))
         problems = []
         try:
             self._graph(chunks, docs, before, old_chunks)
         except Exception as problem:  # the graph step must not lose the chunks
             problems.append(f"graph: {problem}")
-        self.catalog.write("chunks", old_chunks.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_anti").unionByName(chunks, allowMissingColumns=True))
-        self._index(chunks)
+        gone = settled(old_chunks.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id"))
+        self.catalog.merge("chunks", chunks, gone)
+        gone = gone.withColumnRenamed("id", "chunk_id")
+        self._index(chunks, gone)
         try:
-            self.embed(chunks)
+            self.embed(chunks, gone)
         except Exception as problem:  # vectors can be made later
             problems.append(f"embed: {problem}")
         counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"))
@@ -174,29 +177,31 @@ class Ingestion:
             work = chunks.join(changed, ["document_id", "chunk_index"], "left_semi")
             stale = settled(base.join(changed.filter("not is_new"), ["document_id", "chunk_index"]).select(F.col("__old").alias("doc"), "chunk_index").distinct())
             hit = entities.select("name", "type", F.explode("source_document_ids").alias("doc"), F.col("source_chunk_index").alias("chunk_index")).join(stale, ["doc", "chunk_index"], "left_semi").select("name", "type").distinct()
+            hit = settled(hit)
             entities = update(entities, hit.withColumn("status", F.lit("deprecated")), ("name", "type"), ("status",))
         found, relations = extracted(work, self.providers, self.config)
         merged = settled(entity_dedup.dedup_enhanced(found, lambda c: self.providers.embed(c, self.config.sage_dims[0]), self.config))
         relations = graph.dedup_relationships(relations, merged)
-        after = settled(graph.merge_entities(entities, merged.select("name", "type", "source_document_id", "source_chunk_index", "confidence", "properties").dropDuplicates(["name", "type"])))
-        self.catalog.write("entities", after)
-        self.catalog.write("relationships", graph.merge_relationships(edges, relations.dropDuplicates(["source_entity", "target_entity", "type"]), after))
-
-    def _index(self, chunks: DataFrame) -> None:
+        new = settled(merged.select("name", "type", "source_document_id", "source_chunk_index", "confidence", "properties").dropDuplicates(["name", "type"]))
+        touched = new.select("name", "type")
+        touched = touched.unionByName(hit).distinct() if self.incremental else touched
+        self.catalog.upsert("entities", graph.merge_entities(entities.join(touched, ["name", "type"], "left_semi").select(*entities.columns), new))
+        # Only edges that are found again are read and written.
+        made = settled(graph.merge_relationships(edges.limit(0), relations.dropDuplicates(["source_entity", "target_entity", "type"]), self.catalog.read("entities")))
+        known = edges.join(made.select("edge_id"), "edge_id", "left_semi").select("edge_id", F.col("confidence").alias("__known"))
+        self.catalog.upsert("relationships", made.join(known, "edge_id", "left").withColumn("confidence", F.greatest("confidence", "__known")))
+
+    def _index(self, chunks: DataFrame, gone: DataFrame) -> None:
         m = F.col("metadata")
         own = chunks.select(F.col("id").alias("chunk_id"), text.search_text("content", m["summary"], m["hypothetical_questions"], m["keywords"]).alias("content"))
-        live = self.catalog.read("chunks").select(F.col("id").alias("chunk_id"))
-        kept = self.catalog.read("postings").join(own.select("chunk_id"), "chunk_id", "left_anti").join(live, "chunk_id", "left_semi")
-        self.catalog.write("postings", kept.unionByName(retrieval.postings(own, english=True)))
+        self.catalog.merge("postings", retrieval.postings(own, english=True), gone)
 
-    def embed(self, chunks: DataFrame) -> None:
+    def embed(self, chunks: DataFrame, gone: DataFrame | None = None) -> None:
         m = F.col("metadata")
         body = text.chunk_embedding_text("content", "section_path", m["summary"], m["keywords"], m["hypothetical_questions"])
         rows = chunks.select(F.col("id").alias("chunk_id"), self.providers.embed(body, self.config.text_dim).cast("array<float>").alias("embedding"))
         hybrid = vectors.query_hybrid("embedding", self.config.text_dim, self.config.part_dim).cast("array<float>")
-        live = self.catalog.read("chunks").select(F.col("id").alias("chunk_id"))
-        current = self.catalog.read("chunk_embeddings").join(live, "chunk_id", "left_semi")
-        self.catalog.write("chunk_embeddings", upsert(current, rows.withColumn("hybrid", hybrid), ("chunk_id",)))
+        self.catalog.merge("chunk_embeddings", rows.withColumn("hybrid", hybrid), gone)
 
     def log(self, result: DataFrame, ms: float, problem: str | None) -> None:
         rows = result.select(F.coalesce("id", F.sha2("filename", 256)).alias("id"), F.unix_micros(self.now()).alias("seq"), "filename", "status", F.when(F.col("status") == "failed", "parse").otherwise("save").alias("step"), F.coalesce("error", F.lit(problem)).alias("error"), F.lit(1).alias("attempt"), self.now().alias("at"), F.map_filter(F.create_map(F.lit("total"), F.lit(ms)), lambda _, v: v > 0).alias("timings"))
@@ -263,5 +268,5 @@ class Ingestion:
         chunks = self.catalog.read("chunks").select(F.col("id").alias("chunk_id"), "document_id", "chunk_index").join(of_chunk, ["document_id", "chunk_index"], "left")
         current = self.catalog.read("chunk_embeddings")
         made = current.drop("hybrid").join(chunks, "chunk_id").select("chunk_id", vectors.hybrid("embedding", "s", "t", self.config.text_dim, self.config.part_dim).cast("array<float>").alias("hybrid"))
-        self.catalog.write("chunk_embeddings", update(current, made, ("chunk_id",), ("hybrid",)))
+        self.catalog.upsert("chunk_embeddings", current.drop("hybrid").join(made, "chunk_id"))
         return "done"

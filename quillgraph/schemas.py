@@ -48,6 +48,9 @@ KEYS = {
     "model_params": ("model", "param", "row"),
 }
 
+#: Columns by which rows are dealt to buckets. Those of KEYS are unique, too.
+PLACED = KEYS | {"postings": ("chunk_id",)}
+
 #: Values that a column may have; rows with others are refused on write.
 ALLOWED = {
     ("documents", "status"): ("active", "deprecated"),

@@ -164,3 +164,48 @@ def test_training_in_slices(spark, monkeypatch):
     nodes = ent.selectExpr("node", "embedding as x")
     found, _ = gl.sage(nodes, edges, EngineConfig(train_epochs=2, sage_dims=(8, 4, 4)))
     assert sum(seen) == len(rows) and len(seen) > 1 and found.count() == nodes.count()
+
+
+def planted(seed, groups, size, degree):
+    rng = np.random.default_rng(seed)
+    n = groups * size
+    a = rng.integers(0, n, n * degree)
+    b = np.where(rng.random(len(a)) < 0.8, a // size * size + rng.integers(0, size, len(a)), rng.integers(0, n, len(a)))
+    pairs = sorted({(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b) if x != y})
+    return n, [(x, y, 1.0) for x, y in pairs]
+
+
+def connected(labels, edges):
+    root = {x: x for x in labels}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in edges:
+        if labels[a] == labels[b]:
+            root[find(a)] = find(b)
+    return len({find(x) for x in labels}) == len(set(labels.values()))
+
+
+def test_partition_refines():
+    """At least the modularity that moves and splitting alone gave on these graphs, and connected communities."""
+    for seed, least in ((0, 0.60), (1, 0.60), (2, 0.60)):
+        n, edges = planted(seed, 12, 25, 4)
+        a, b, w = (np.array(c) for c in zip(*edges))
+        labels = dict(enumerate(community.partition(n, a, b, w, 1.0, 42).tolist()))
+        assert community.modularity(labels, edges) > least and connected(labels, edges)
+
+
+def test_one_component_by_many_tasks(spark):
+    n, edges = planted(5, 5, 20, 4)
+    name = lambda i: f"n{i:04d}"
+    df = spark.createDataFrame([(name(a), name(b), w) for a, b, w in edges], "a string, b string, weight double").repartition(4)
+    named, r = [(name(a), name(b), w) for a, b, w in edges], EngineConfig().community_resolution
+    found = {x.node: x.community_id for x in community.detect(df, None, EngineConfig(), 120).collect()}
+    sizes = [sum(v == k for v in found.values()) for k in range(len(set(found.values())))]
+    assert len(found) == n and sizes == sorted(sizes, reverse=True) and connected(found, named)
+    a, b, w = (np.array(c) for c in zip(*edges))
+    alone = dict(enumerate(community.partition(n, a, b, w, r, 42).tolist()))
+    assert community.modularity(found, named, r) > 0.95 * community.modularity(alone, edges, r)
