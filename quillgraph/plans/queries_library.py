@@ -219,33 +219,37 @@ def extract_from_chunks(t):
 PLACES = "w AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents), p AS (SELECT chunk_id, unnest(ws) AS lexeme, unnest(range(1, len(ws) + 1)) AS place FROM w)"
 
 
-def _first_words(t, n):
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, n), " ").alias("text"))
+#: Of every document that holds all words of an item: its covers, from the place of each word's last occurrence so far.
+DENSITY = f"""{PLACES}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS lexeme FROM benchmark), k AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY query_id),
+m AS (SELECT q.query_id, p.chunk_id, any_value(wanted) AS wanted FROM (SELECT DISTINCT chunk_id, lexeme FROM p) p JOIN q ON q.lexeme = p.lexeme JOIN k ON k.query_id = q.query_id GROUP BY q.query_id, p.chunk_id HAVING count(*) = any_value(wanted)),
+h AS (SELECT m.query_id, m.chunk_id, wanted, p.lexeme, place, row_number() OVER (PARTITION BY m.query_id, m.chunk_id ORDER BY place) AS here FROM m JOIN p ON p.chunk_id = m.chunk_id JOIN q ON q.query_id = m.query_id AND q.lexeme = p.lexeme),
+l AS (SELECT a.query_id, a.chunk_id, a.wanted, a.here, a.place, b.lexeme, max(b.here) AS last FROM h a JOIN h b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.here <= a.here GROUP BY ALL),
+b AS (SELECT query_id, chunk_id, here, place, min(last) AS start FROM l GROUP BY query_id, chunk_id, wanted, here, place HAVING count(*) = wanted),
+c AS (SELECT *, coalesce(start > lag(start) OVER (PARTITION BY query_id, chunk_id ORDER BY here), true) AS new FROM b),
+d AS (SELECT c.query_id, c.chunk_id, sum(0.1 / (1 + greatest(c.place - h.place - (c.here - c.start), 0))) AS r FROM c JOIN h ON h.query_id = c.query_id AND h.chunk_id = c.chunk_id AND h.here = c.start WHERE new GROUP BY c.query_id, c.chunk_id),
+y AS (SELECT query_id, chunk_id, round(CAST(r / (r + 1) AS DOUBLE), 12) AS score FROM d)"""
 
 
-@query(f"""WITH {PLACES}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:2]) AS lexeme FROM benchmark), k AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY query_id),
-h AS (SELECT q.query_id, chunk_id, p.lexeme, place, wanted, lag(p.lexeme) OVER o AS before, lag(place) OVER o AS back FROM p JOIN q ON q.lexeme = p.lexeme JOIN k ON k.query_id = q.query_id WINDOW o AS (PARTITION BY q.query_id, chunk_id ORDER BY place)),
-r AS (SELECT query_id, chunk_id, sum(CASE WHEN wanted = 1 THEN 0.1 WHEN before <> lexeme THEN 0.1 / (1 + place - back - 1) END) AS r FROM h GROUP BY query_id, chunk_id, wanted HAVING count(DISTINCT lexeme) = wanted),
-s AS (SELECT query_id, chunk_id, CAST(r / (r + 1) AS DOUBLE) AS score FROM r)
-SELECT query_id, chunk_id, round(score, 6) AS score FROM s""")
+def _items(t):
+    return t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {DENSITY} SELECT query_id, chunk_id, round(score, 6) AS score FROM y")
 def lex_cover_density_all(t):
-    """Cover density of the first two words of every benchmark item in every document that holds both."""
-    asked = retrieval.query_lexemes(_first_words(t, 2))
+    """Cover density of the whole text of every benchmark item in every document that holds all its words."""
+    asked = retrieval.query_lexemes(_items(t))
     index = retrieval.postings(t("documents"), "doc_id", "text", only=asked).withColumnRenamed("doc_id", "chunk_id")
     return retrieval.match_all(index, asked).select("query_id", "chunk_id", F.round(retrieval.density(), 6).alias("score"))
 
 
-@query(f"""WITH {PLACES}, q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1] AS lexeme FROM benchmark),
-m AS (SELECT q.query_id, chunk_id, count(*) AS n FROM p JOIN q ON q.lexeme = p.lexeme GROUP BY q.query_id, chunk_id),
-x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank FROM m) WHERE rank <= 20),
+@query(f"""WITH {DENSITY}, x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM y) WHERE rank <= 20),
 s AS (SELECT b.item_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM benchmark b JOIN embeddings a ON a.vec_id = b.item_id, embeddings e),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 20),
 u AS (SELECT query_id, chunk_id, rank, 0 AS list FROM v UNION ALL SELECT query_id, chunk_id, rank, 1 FROM x), f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM u GROUP BY query_id, chunk_id)
 SELECT query_id, chunk_id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, chunk_id) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_search_all(t):
-    """Vector and full-text search fused, for every benchmark item: its first word, and the vector of its number."""
-    asked = _first_words(t, 1)
+    """Vector and full-text search fused, for every benchmark item: its whole text, and the vector of its number."""
+    asked = _items(t)
     index = retrieval.postings(t("documents"), "doc_id", "text", only=retrieval.query_lexemes(asked)).withColumnRenamed("doc_id", "chunk_id")
     e = t("embeddings").withColumnRenamed("vec_id", "chunk_id")
     vecs = t("benchmark").select(F.col("item_id").alias("chunk_id")).join(e, "chunk_id").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vec"))
@@ -363,7 +367,7 @@ def catalog_lifecycle(t):
 
 
 @query("""SELECT 'agent' AS kind, 'Second' AS name, 'beta' AS detail UNION ALL SELECT 'category', 'beta', '1' UNION ALL SELECT 'conversation', 'Renamed', '2' UNION ALL SELECT 'log', 'hello?', 'SIMPLE'
-UNION ALL SELECT 'document', 'page-' || page_id, 'beta' FROM pages WHERE page_id = (SELECT min(page_id) FROM pages) UNION ALL SELECT 'error', 'conflict', 'category beta exists' UNION ALL SELECT 'error', 'missing', 'no row nobody in agents'""")
+UNION ALL SELECT 'document', 'page-' || page_id, CASE WHEN page_id = (SELECT min(page_id) FROM pages) THEN 'beta' END FROM pages UNION ALL SELECT 'error', 'conflict', 'category beta exists' UNION ALL SELECT 'error', 'missing', 'no row nobody in agents'""")
 def service_lifecycle(t):
     """What the service lists after categories, agents, a conversation and a document were made and changed."""
     from quillgraph.plans.service import Conflict, NotFound
@@ -371,9 +375,8 @@ def service_lifecycle(t):
     pages = t("pages")
     service = Service(_catalog(pages), config=EngineConfig(text_dim=32, part_dim=8, max_passes=1), clock=now())
     spark, catalog = pages.sparkSession, service.catalog
-    first = pages.orderBy("page_id").limit(1).select(F.concat(F.lit("page-"), "page_id").alias("id"), F.concat(F.lit("page-"), "page_id").alias("filename"), F.lit("active").alias("status"), F.lit(1).alias("version"))
-    catalog.write("documents", first)
-    document = catalog.read("documents").first()["id"]
+    catalog.write("documents", pages.select(F.concat(F.lit("page-"), "page_id").alias("id"), F.concat(F.lit("page-"), "page_id").alias("filename"), F.lit("active").alias("status"), F.lit(1).alias("version")))
+    document = f"page-{pages.agg(F.min('page_id')).first()[0]}"
     alpha, beta = service.create_category("alpha"), service.create_category("beta")
     service.move_document(document, beta)
     one, two = service.create_agent("First", categories=[alpha]), service.create_agent("Other", categories=[alpha])

@@ -129,9 +129,8 @@ def postings_stats(t):
 
 @query()
 def lex_cover_density(t):
-    english = t("documents").filter("lang = 'en'")
     asked = retrieval.query_lexemes(_texts(t), english=True)
-    index = retrieval.postings(english, "doc_id", "text", english=True, only=asked).withColumnRenamed("doc_id", "chunk_id")
+    index = retrieval.postings(t("documents"), "doc_id", "text", english=True, only=asked).withColumnRenamed("doc_id", "chunk_id")
     found = retrieval.match_all(index, asked).withColumn("score", retrieval.density())
     return retrieval.ranked(found, 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -297,10 +296,10 @@ def cacheable_and_coverage(t):
     return t("conversations").select("conv_id", "turn", ok.alias("ok"), decisions.needs_another_pass(answer, "turn", kind, "turn").alias("again"))
 
 
-@query(f"""WITH x AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id >= 5), s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) AS score FROM embeddings q, x WHERE q.vec_id % 50 = 0 AND x.label < 8)
+@query(f"""WITH x AS (SELECT vec_id, embedding, label FROM embeddings), s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) AS score FROM embeddings q, x WHERE q.vec_id % 50 = 0 AND x.label < 8)
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s WHERE score > 0.95) WHERE r = 1""")
 def cache_lookup(t):
-    cache = t("embeddings").filter("vec_id >= 5").select(F.col("vec_id").alias("id"), "embedding", (now() + F.expr("make_dt_interval(0, 8 - label)")).alias("expires_at"))
+    cache = t("embeddings").select(F.col("vec_id").alias("id"), "embedding", (now() + F.expr("make_dt_interval(0, 8 - label)")).alias("expires_at"))
     return assembly.cache_lookup(cache, _asked(t), now()).select("query_id", "id", F.round("score", 6).alias("score"))
 
 

@@ -149,21 +149,86 @@ def test_graph_queries_take_all_edges(spark, sf_small):
         assert customers and customers <= got
 
 
-def test_training_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(gl, "SLICE_EDGES", 4)
+def test_training_takes_all_edges(spark):
     rows = [(f"n{i}", "RS"[i % 2], f"n{(i * 7 + 1) % 40}") for i in range(30) if i != (i * 7 + 1) % 40]
     triples = spark.createDataFrame(rows, "h string, r string, t string")
-    slices = gl._slices(triples)
-    assert len(slices) > 1 and sorted(tuple(x) for s in slices for x in s.collect()) == sorted(rows)
-    ent, rel = gl.transe(triples, 8, EngineConfig(train_epochs=2))
-    assert {r.node for r in ent.collect()} == {x for h, _, t in rows for x in (h, t)} and rel.count() == 2
-    seen = []
-    train = gl.train_sage
-    monkeypatch.setattr(gl, "train_sage", lambda f, e, c, m=None: seen.append(len(e)) or train(f, e, c, m))
+    names = {x for h, _, t in rows for x in (h, t)}
+    ent, rel = gl.transe(triples, 8, EngineConfig(train_epochs=2), bucket_entities=15, passes=1)
+    assert {r.node for r in ent.collect()} == names and rel.count() == 2
     edges = triples.selectExpr("h as a", "t as b")
     nodes = ent.selectExpr("node", "embedding as x")
-    found, _ = gl.sage(nodes, edges, EngineConfig(train_epochs=2, sage_dims=(8, 4, 4)))
-    assert sum(seen) == len(rows) and len(seen) > 1 and found.count() == nodes.count()
+    config = EngineConfig(train_epochs=2, sage_dims=(8, 4, 4))
+    batches = gl.minibatches(nodes, edges, config, parts=2)
+    assert batches.groupBy("epoch").count().filter(f"count = {len(rows)}").count() == 2
+    found, _ = gl.sage(nodes, edges, config)
+    assert found.count() == nodes.count()
+
+
+def test_matchings():
+    for n in range(1, 9):
+        rounds = gl.matchings(n)
+        met = [p for r in rounds for p in r]
+        assert sorted(met) == [(i, j) for i in range(n) for j in range(i, n)]
+        assert all(len({b for p in r for b in p}) == sum(len(set(p)) for p in r) for r in rounds)
+
+
+def test_translations_of_buckets(spark):
+    """The margin loss falls in buckets about as far as on one machine, and each entity has one vector."""
+    rng = np.random.default_rng(6)
+    place = rng.normal(size=(60, 2))
+    step = {"R": np.array([1.0, 0.0]), "S": np.array([0.0, 1.0])}
+    rows = [(f"n{i:02d}", r, f"n{int(np.argmin(((place[i] + v - place) ** 2).sum(1) + 9 * (np.arange(60) == i))):02d}") for i in range(60) for r, v in step.items()]
+    triples = spark.createDataFrame(rows, "h string, r string, t string")
+
+    def loss(ent, rel):
+        total = 0.0
+        for k, (h, r, t) in enumerate(rows):
+            other = f"n{(k * 17 + 5) % 60:02d}"
+            if other in ent:
+                total += max(0.0, 1 + np.linalg.norm(ent[h] + rel[r] - ent[t]) - np.linalg.norm(ent[h] + rel[r] - ent[other]))
+        return total / len(rows)
+
+    got = []
+    for epochs, size in ((1, 25), (120, 25), (120, 1000)):
+        ent, rel = gl.transe(triples, 12, EngineConfig(train_epochs=epochs, margin=1.0), bucket_entities=size, passes=2)
+        rows_of = ent.collect()
+        ent = {r.node: np.array(r.embedding) for r in rows_of}
+        assert len(rows_of) == len(ent) == len({x for h, _, t in rows for x in (h, t)})
+        got.append(loss(ent, {r.relation_type: np.array(r.embedding) for r in rel.collect()}))
+    assert got[1] < 0.8 * got[0] and got[1] < 1.35 * got[2], got
+
+
+def test_minibatch_weights(spark):
+    """Weights equal those of one machine on the same batches, whose gradient is that of the loss."""
+    rng = np.random.default_rng(7)
+    nodes = spark.createDataFrame([(f"v{i:02d}", rng.normal(size=6).tolist()) for i in range(40)], "node string, x array<double>")
+    edges = spark.createDataFrame([(f"v{int(a):02d}", f"v{int(b):02d}") for a, b in rng.integers(0, 40, (90, 2))] + [("v00", f"v{i:02d}") for i in range(1, 40)], "a string, b string")
+    config = EngineConfig(train_epochs=4, sage_dims=(6, 5, 4), negatives=2, sage_neighbours=3, learning_rate=0.05)
+    batches = gl.minibatches(nodes, edges, config, batch_edges=40, parts=3)
+    params, losses = gl.train_on(batches, 6, config)
+    rows = batches.collect()
+    own = gl.Sage((6, 5, 4), config.seed).params
+    one, two = ({k: np.zeros_like(v) for k, v in own.items()} for _ in range(2))
+    for epoch in range(1, 5):
+        grads, pairs = {k: 0.0 for k in own}, 0
+        for part in sorted({r.part for r in rows if r.epoch == epoch}):
+            some = sorted((r for r in rows if r.epoch == epoch and r.part == part), key=lambda r: r.edge)
+            g, loss, n = gl.sage_gradient(own, [r.a for r in some], [r.b for r in some], 2)
+            pairs += n
+            grads = {k: grads[k] + g[k] for k in g}
+            if epoch == 1 and part == min(r.part for r in rows):
+                for k, at in (("own0", (1, 2)), ("near0", (3, 0)), ("own1", (2, 3)), ("near1", (4, 1))):
+                    more = {x: v.copy() for x, v in own.items()}
+                    more[k][at] += 1e-6
+                    slope = (gl.sage_gradient(more, [r.a for r in some], [r.b for r in some], 2)[1] - loss) / 1e-6
+                    assert abs(slope - g[k][at]) < 1e-3 * max(1, abs(slope))
+        for k in own:
+            g = grads[k] / pairs
+            one[k] = 0.9 * one[k] + 0.1 * g
+            two[k] = 0.999 * two[k] + 0.001 * g * g
+            own[k] = own[k] - 0.05 * (one[k] / (1 - 0.9**epoch)) / (np.sqrt(two[k] / (1 - 0.999**epoch)) + 1e-8)
+    assert len(losses) == 4 and all(np.abs(own[k] - params[k]).max() < 1e-6 for k in own)
+    assert all(2 <= len(r.a) <= 4 and len(r.a[0]) == 12 for r in rows)
 
 
 def planted(seed, groups, size, degree):
