@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quillgraph.functions.stemming import STOP_WORDS, stem
 from quillgraph.sources.files import page_markdown
+from quillgraph.sources.office import READERS
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -44,12 +45,14 @@ def hashed_embedding(text, dim: int) -> Column:
 
 
 def parse_file(path: str, content: bytes) -> list[str]:
-    """Pages of a text, markdown or HTML file; other formats need a provider of their own."""
+    """Pages of a text, markdown, HTML, PDF, DOCX or PPTX file; scans need a provider of their own."""
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix in ("txt", "md"):
         return content.decode("utf-8", "replace").split("\f")
     if suffix == "html":
         return [page_markdown(content.decode("utf-8", "replace"))]
+    if suffix in READERS:
+        return READERS[suffix](content)
     raise ValueError(f"no parser for .{suffix}")
 
 

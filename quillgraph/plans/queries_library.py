@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from quillgraph.plans.queries_graph import EDGES, ENTITIES, MENTIONS, _edges, _e
 from quillgraph.plans.queries_search import CLOCK, now
 from quillgraph.plans.registry import query
 from quillgraph.plans.service import Service
+from quillgraph.sources import files, office_files
 from quillgraph.sources.catalog import Catalog, settled
 from quillgraph.streaming import logs
 
@@ -214,6 +216,22 @@ def extract_from_chunks(t):
     return found.unionByName(relations.select(*at, F.lit("relationship").alias("kind"), F.col("source_entity").alias("name"), F.col("target_entity").alias("target"), "type", "confidence"))
 
 
+@query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, CASE WHEN conv_id % 3 = 2 THEN role || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE '# ' || role || chr(10) || chr(10) || trim(text) END AS markdown FROM conversations""")
+def office_pages(t):
+    """Conversations written as DOCX, PPTX and PDF files, a page for each turn, and read back."""
+    def write(rows):
+        for own in rows:
+            out = [office_files.WRITERS[k](p) for k, p in zip(own.column("kind").to_pylist(), own.column("pages").to_pylist())]
+            yield pa.RecordBatch.from_arrays([own.column("path"), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["path", "length", "content"])
+
+    kind = F.element_at(F.array(*map(F.lit, ("docx", "pptx", "pdf"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    own = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    own = own.select(F.concat_ws(".", "conv_id", kind).alias("path"), kind.alias("kind"), F.transform("turns", lambda x: F.array(x["role"], x["text"])).alias("pages"))
+    made = own.mapInArrow(write, "path string, length bigint, content binary")
+    read = files.parsed(files.validated(made), Providers().parse).filter("error is null")
+    return read.select(F.substring_index("path", ".", 1).cast("long").alias("conv_id"), F.posexplode("pages").alias("page", "markdown")).select("conv_id", (F.col("page") + 1).cast("long").alias("page"), "markdown")
+
+
 # Search
 
 PLACES = "w AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents), p AS (SELECT chunk_id, unnest(ws) AS lexeme, unnest(range(1, len(ws) + 1)) AS place FROM w)"

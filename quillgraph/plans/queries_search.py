@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import decisions, text, vectors
-from quillgraph.operators import assembly, retrieval, vector_index
+from quillgraph.operators import assembly, retrieval, text_index, vector_index
 from quillgraph.plans.registry import query
 
 CLOCK = "2024-06-01 00:00:00"
@@ -117,8 +117,19 @@ def lex_and_match(t):
 @query(f"""WITH {LEXEMES}, {ASKED_50}, l AS (SELECT chunk_id, sum(n) AS length FROM p GROUP BY chunk_id), w AS (SELECT count(*) AS chunks, avg(length) AS mean FROM l), d AS (SELECT lexeme, count(*) AS df FROM p GROUP BY lexeme)
 SELECT q.query_id, p.chunk_id, round(sum(ln(1 + (chunks - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))), 5) AS score FROM p JOIN q ON p.lexeme = q.lexeme JOIN d ON d.lexeme = p.lexeme JOIN l ON l.chunk_id = p.chunk_id, w GROUP BY q.query_id, p.chunk_id""")
 def lex_bm25(t):
-    index = retrieval.postings(t("documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.bm25(index, retrieval.query_lexemes(_texts(t, 50))).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+    asked = retrieval.query_lexemes(_texts(t, 50))
+    index = retrieval.postings(t("documents"), "doc_id", "text", only=asked).withColumnRenamed("doc_id", "chunk_id")
+    length = retrieval.lengths(t("documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.bm25(index, asked, length=length).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {LEXEMES}, {ASKED}, l AS (SELECT chunk_id, sum(n) AS length FROM p GROUP BY chunk_id), w AS (SELECT count(*) AS chunks, avg(length) AS mean FROM l), d AS (SELECT lexeme, count(*) AS df FROM p GROUP BY lexeme),
+s AS (SELECT q.query_id, p.chunk_id, round(sum(ln(1 + (chunks - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM p JOIN q ON p.lexeme = q.lexeme JOIN d ON d.lexeme = p.lexeme JOIN l ON l.chunk_id = p.chunk_id, w GROUP BY q.query_id, p.chunk_id)
+SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) WHERE rank <= 20""")
+def lex_blocks_topk(t):
+    """The 20 best documents for every benchmark item, from blocks of postings that can hold one."""
+    index = text_index.build(t("documents").withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "text")
+    return text_index.search(index, retrieval.query_lexemes(_texts(t)), 20).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"WITH {LEXEMES} SELECT lexeme, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM p GROUP BY lexeme")
