@@ -6,7 +6,7 @@ kind (SAMPLE distinct values, first by hash) ALERGIA infers a probabilistic auto
 the values, as words over character classes, and merges states whose frequencies of ending and of each next class
 differ by no more than a Hoeffding bound, their successors included. A sample of the other tokens that have no
 digit gives the automaton of ordinary text (those with digits may be credentials without a label). Every token outside the base spans is then scored by its log-likelihood per
-character under the kinds' automata less that under ordinary text; THRESHOLD or more adds a span of kind `format`.
+symbol, its end included, under the kinds' automata less that under ordinary text; THRESHOLD or more adds a span of kind `format`.
 
 Texts are read once; what is gathered from them (spans and tokens) is small and goes with the corpus.
 
@@ -36,8 +36,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of the class is one match, so the least length can stand in the pattern
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-MIN_TOKEN = 16
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+MIN_TOKEN = 12
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 SAMPLE = 400
 ALPHA = 0.05
 LEAST_COUNT = 12
@@ -45,6 +45,8 @@ THRESHOLD = 0.6
 
 _CLASS = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "f"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "z"), **dict.fromkeys("ABCDEF", "F"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "Z")}
 _SIZE = {c: list(_CLASS.values()).count(c) for c in set(_CLASS.values())}
+#: The classes and the single marks of a token's alphabet, and the end of a word.
+SYMBOLS = len(_SIZE) + len("+/_.=-") + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -161,15 +163,18 @@ class Automaton:
         del self.count, self.final, self.next
 
     def score(self, word: str) -> float:
-        """Log-likelihood per character; classes that a state hasn't seen get a half count and keep the state."""
+        """Log-likelihood of the word, its end included, per symbol.
+
+        A state gives each class and the end half a count more than it has seen. A class that it hasn't seen leads to
+        a state without counts, where all are alike.
+        """
         state, total = 0, 0.0
-        for c in word:
+        for c in [*word, None]:
             symbol = _CLASS.get(c, c)
-            edges, _, n = self.states[state]
-            to, seen = edges.get(symbol, (state, 0))
-            total += math.log((seen + 0.5) / (n + 5) / _SIZE.get(symbol, 1))
-            state = to
-        return total / max(1, len(word))
+            edges, final, n = self.states[state] if state is not None else ({}, 0, 0)
+            state, seen = edges.get(symbol, (None, 0)) if c is not None else (state, final)
+            total += math.log((seen + 0.5) / (n + 0.5 * SYMBOLS) / _SIZE.get(symbol, 1))
+        return total / (len(word) + 1)
 
 
 def learn(found: DataFrame) -> tuple[list[Automaton], Automaton | None]:

@@ -1,6 +1,8 @@
+import itertools
+import math
 import random
-import time
 import re
+import time
 
 from quillgraph.llm import op5_secret_grammar as op
 
@@ -77,3 +79,35 @@ def test_held_out_recall_and_precision():
     recall, precision = sum(found) / len(found), sum(found) / max(1, sum(found) + sum(false))
     print(f"recall {recall:.3f}, precision {precision:.3f}, states {len(assign.states)}")
     assert recall >= 0.9 and precision >= 0.9
+
+
+def test_likelihoods_are_a_distribution():
+    """Each state's classes and its end add up to one, so words of a bounded length add up to less."""
+    own = op.Automaton(["00", "0", "0z", "0z", "00", "z"] * 10)
+    assert all(n == final + sum(seen for _, seen in edges.values()) for edges, final, n in own.states)
+    letters = {"0": "0", "f": "a", "z": "g", "F": "A", "Z": "G"} | {c: c for c in "+/_.=-"}
+    assert len(letters) + 1 == op.SYMBOLS
+    total = 0.0
+    for length in range(4):
+        for word in itertools.product(letters, repeat=length):
+            size = math.prod(op._SIZE.get(c, 1) for c in word)
+            total += size * math.exp(own.score("".join(letters[c] for c in word)) * (length + 1))
+    assert 0.5 < total < 1
+
+
+def test_ends_count():
+    """Values of one length are told from longer ones of the same classes."""
+    rnd = random.Random(9)
+    made = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    own = op.Automaton([made(16) for _ in range(400)])
+    assert own.score(made(16)) * 17 > own.score(made(17)) * 18 + math.log(10)
+
+
+def test_short_tokens(spark):
+    """Candidates start at the least length of a labelled value."""
+    rnd = random.Random(3)
+    key = lambda: "".join(rnd.choice("ABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(13))
+    word = lambda: "".join(rnd.choice(["the", "and", "tion", "er", "ing", "re"]) for _ in range(6))
+    rows = [(i, f"token = {key()} more {word()}") for i in range(200)] + [(500 + i, f"plain {key()} {word()}") for i in range(20)]
+    got = {r.doc_id: r.spans for r in op.digest(op.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert sum(got[500 + i] == "format:6:19" for i in range(20)) >= 18 and not any("format" in got[i] for i in range(200))
