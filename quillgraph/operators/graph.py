@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import DEFAULT, EngineConfig
 from quillgraph.functions.text import normalize_name
+from quillgraph.sources.catalog import settled
 
 
 def _merged_maps(rows: str) -> Column:
@@ -126,26 +127,61 @@ def choose_seeds(seeds: DataFrame, entities: DataFrame, relationships: DataFrame
     return own.filter(((F.col("__some") == 1) & (F.col("degree") <= config.max_degree)) | ((F.col("__some") == 0) & (F.col("__turn") == 1))).select("query_id", "name", "pos")
 
 
+def first_neighbours(steps: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """(m_name, m_type, name): of each node the first ``k`` names of active neighbours.
+
+    Names are cut to the first ``k`` of each part of a node's edges before those meet, so a hub is no single task.
+    """
+    ends = steps.select(F.col("a_name").alias("m_name"), F.col("a_type").alias("m_type"), F.col("b_name").alias("name"), F.col("b_type").alias("type"))
+    names = ends.join(live, ["name", "type"], "left_semi").select("m_name", "m_type", "name").distinct().withColumn("part", F.pmod(F.xxhash64("name"), F.lit(64)))
+    part = Window.partitionBy("m_name", "m_type", "part").orderBy("name")
+    few = names.withColumn("turn", F.row_number().over(part)).filter(F.col("turn") <= k)
+    whole = Window.partitionBy("m_name", "m_type").orderBy("name")
+    return few.withColumn("turn", F.row_number().over(whole)).filter(F.col("turn") <= k).select("m_name", "m_type", "name")
+
+
+def second_hops(one: DataFrame, near: DataFrame, steps: DataFrame, live: DataFrame, most: int) -> DataFrame:
+    """(query_id, seed_name, name): pairs that may be among the best ``most`` of their query by two edges, in order of names.
+
+    Of a middle's neighbours a query can use ``most`` names besides those it has at one edge (fewer than ``most``, or it needs
+    no second edge) and the seed's own; so each middle offers 2 * most + 1 names, however many edges it has.
+    """
+    frontier = one.join(near, "query_id").select("query_id", "s_name", "s_type", F.col("b_name").alias("m_name"), F.col("b_type").alias("m_type")).distinct()
+    middles = frontier.select(F.col("m_name").alias("a_name"), F.col("m_type").alias("a_type")).distinct()
+    lists = first_neighbours(steps.join(middles, ["a_name", "a_type"], "left_semi"), live, 2 * most + 1)
+    return frontier.join(lists, ["m_name", "m_type"]).select("query_id", F.col("s_name").alias("seed_name"), "name").distinct()
+
+
 def traverse(seeds: DataFrame, entities: DataFrame, relationships: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(query_id, seed_name, name, type, hop_weight, rel_types): what lies one or two edges from the seeds.
 
     Edges have no direction and aren't used twice in a path; the far end is active and not the seed, the middle may be anything.
     One row for each pair of names: the largest weight, then the least relation types. The best ``max_paths`` stay.
+
+    Pairs at one edge come first. Only queries that have too few of them look further, and take names before paths: the second edge is followed
+    for the names that each middle offers, the best pairs are chosen, and the paths of those alone are made.
     """
+    most = config.max_paths
     live = entities.filter("status = 'active'").select("name", "type")
     start = live.withColumn("key", F.lower("name")).join(seeds.select("query_id", F.lower("name").alias("key")).distinct(), "key").select("query_id", F.col("name").alias("s_name"), F.col("type").alias("s_type"))
     steps = both_ways(relationships)
-    one = start.join(steps, (F.col("s_name") == F.col("a_name")) & (F.col("s_type") == F.col("a_type"))).select("query_id", "s_name", "s_type", "edge_id", "b_name", "b_type", F.array("rel_type").alias("rel_types"))
-    hop = steps.select(F.col("edge_id").alias("e2"), F.col("a_name").alias("m_name"), F.col("a_type").alias("m_type"), F.col("b_name").alias("t_name"), F.col("b_type").alias("t_type"), F.col("rel_type").alias("r2"))
-    two = one.join(hop, (F.col("b_name") == F.col("m_name")) & (F.col("b_type") == F.col("m_type")) & (F.col("edge_id") != F.col("e2")))
-    two = two.select("query_id", "s_name", "s_type", F.col("t_name").alias("name"), F.col("t_type").alias("type"), F.lit(0.5).alias("hop_weight"), F.concat("rel_types", F.array("r2")).alias("rel_types"))
-    paths = one.select("query_id", "s_name", "s_type", F.col("b_name").alias("name"), F.col("b_type").alias("type"), F.lit(1.0).alias("hop_weight"), "rel_types").unionByName(two)
-    paths = paths.join(live, ["name", "type"], "left_semi").filter("name <> s_name or type <> s_type")
-    best = F.min(F.struct((-F.col("hop_weight")).alias("w"), "rel_types", "type")).alias("best")
-    pairs = paths.groupBy("query_id", F.col("s_name").alias("seed_name"), "name").agg(best)
-    pairs = pairs.select("query_id", "seed_name", "name", F.col("best.type").alias("type"), (-F.col("best.w")).alias("hop_weight"), F.col("best.rel_types").alias("rel_types"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("hop_weight"), "seed_name", "name")
-    return pairs.withColumn("__turn", F.row_number().over(order)).filter(F.col("__turn") <= config.max_paths).drop("__turn")
+    one = settled(start.join(steps, (F.col("s_name") == F.col("a_name")) & (F.col("s_type") == F.col("a_type"))).select("query_id", "s_name", "s_type", "edge_id", "b_name", "b_type", F.array("rel_type").alias("rel_types")))
+
+    def best(paths: DataFrame, weight: float) -> DataFrame:
+        own = paths.join(live, ["name", "type"], "left_semi").filter("name <> s_name or type <> s_type")
+        own = own.groupBy("query_id", F.col("s_name").alias("seed_name"), "name").agg(F.min(F.struct("rel_types", "type")).alias("best"))
+        return own.select("query_id", "seed_name", "name", F.col("best.type").alias("type"), F.lit(weight).alias("hop_weight"), F.col("best.rel_types").alias("rel_types"))
+
+    order = Window.partitionBy("query_id").orderBy("seed_name", "name")
+    direct = settled(best(one.select("query_id", "s_name", "s_type", F.col("b_name").alias("name"), F.col("b_type").alias("type"), "rel_types"), 1.0).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most))
+    have = direct.groupBy("query_id").agg(F.max("turn").alias("have"))
+    near = one.select("query_id").distinct().join(have, "query_id", "left").select("query_id", F.coalesce("have", F.lit(0)).alias("have")).filter(F.col("have") < most)
+    pairs = settled(second_hops(one, near, steps, live, most).join(direct.select("query_id", "seed_name", "name"), ["query_id", "seed_name", "name"], "left_anti"))
+    first = one.join(pairs.withColumnRenamed("seed_name", "s_name"), ["query_id", "s_name"])
+    hop = steps.select(F.col("edge_id").alias("e2"), F.col("a_name").alias("b_name"), F.col("a_type").alias("b_type"), F.col("b_name").alias("name"), F.col("b_type").alias("type"), F.col("rel_type").alias("r2"))
+    two = first.join(hop, ["b_name", "b_type", "name"]).filter("edge_id <> e2").select("query_id", "s_name", "s_type", "name", "type", F.concat("rel_types", F.array("r2")).alias("rel_types"))
+    after = best(two, 0.5).join(near, "query_id").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") + F.col("have") <= most)
+    return direct.drop("turn").unionByName(after.drop("turn", "have"))
 
 
 def resolve_chunks(paths: DataFrame, seeds: DataFrame, entities: DataFrame, chunks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -153,6 +153,36 @@ def hybrid_vectors_of_chunks(t):
     return catalog.read("chunk_embeddings").select(F.col("chunk_id").cast("long").alias("vec_id"), *[F.round(h[k].cast("double"), 4).alias(n) for n, k in (("words", 0), ("structural", 32), ("translational", 40))])
 
 
+@query(f"""WITH {ENTITIES}, {EDGES}, a AS (SELECT * FROM e WHERE status = 'active'), x AS (SELECT g.* FROM g JOIN a s ON s.name = src AND s.type = st JOIN a d ON d.name = dst AND d.type = dt)
+SELECT 'entities placed' AS what, count(*) AS n FROM a UNION ALL SELECT 'entities in communities', count(*) FROM a UNION ALL SELECT 'entities without a community', count(*) FROM e WHERE status <> 'active'
+UNION ALL SELECT 'edges across components', 0 UNION ALL SELECT 'entity vectors', count(*) FROM a UNION ALL SELECT 'translated', count(DISTINCT n) FROM (SELECT src || '::' || st AS n FROM x UNION ALL SELECT dst || '::' || dt FROM x)
+UNION ALL SELECT 'relation vectors', count(DISTINCT rel) FROM x UNION ALL SELECT 'community vectors', 1""")
+def after_batch(t):
+    """Communities, their texts and vectors, and graph vectors of the whole graph, as a batch of files leaves them in the catalog."""
+    entities = _entities(t)
+    catalog = _catalog(entities)
+    catalog.write("entities", entities.withColumn("confidence", F.lit(1.0)))
+    catalog.write("relationships", _edges(t))
+    config = EngineConfig(text_dim=32, part_dim=8, train_epochs=3, sage_dims=(16, 8, 8))
+    told = ingest.Ingestion(catalog, config=config, clock=now()).after_batch()
+    if set(told.values()) != {"done"}:
+        raise RuntimeError(str(told))
+    placed, made, vecs = catalog.read("entities"), catalog.read("communities"), catalog.read("entity_embeddings")
+    edges = graph.active_edges(placed, catalog.read("relationships"))
+    parts = community.components(community.undirected(edges))
+    of = placed.withColumn("node", F.concat_ws("::", "name", "type")).join(parts, "node")
+    across = of.groupBy("community_id").agg(F.countDistinct("component").alias("n")).filter("n > 1")
+    large = made.filter(F.col("entity_count") >= config.community_min_size).count()
+    n = lambda what, df, column=F.lit(1): df.agg(F.count(column).alias("n")).select(F.lit(what).alias("what"), "n")
+    out = n("entities placed", placed, F.col("community_id"))
+    out = out.unionByName(made.agg(F.sum("entity_count").alias("n")).select(F.lit("entities in communities").alias("what"), "n"))
+    out = out.unionByName(n("entities without a community", placed.filter("community_id is null")))
+    out = out.unionByName(n("edges across components", across)).unionByName(n("entity vectors", vecs.filter("size(structural) = 8 and size(text) = 16"))).unionByName(n("translated", vecs.filter("size(transe) = 8")))
+    out = out.unionByName(n("relation vectors", catalog.read("relation_embeddings")))
+    found = catalog.read("community_embeddings").filter("size(embedding) = 32").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(found.select(F.lit("community vectors").alias("what"), (F.col("n") == F.lit(large)).cast("long").alias("n")))
+
+
 # Text
 
 @query("""SELECT doc_id, sha256(text || ' ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END || ' ' || CASE WHEN doc_id % 3 = 0 THEN 'a? b?' ELSE '' END || ' ' || CASE WHEN doc_id % 5 = 0 THEN lang || ' ' || source ELSE '' END) AS digest FROM documents""")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.config import EngineConfig
 from quillgraph.operators import community, entity_dedup, graph
@@ -274,3 +275,49 @@ def test_one_component_by_many_tasks(spark):
     a, b, w = (np.array(c) for c in zip(*edges))
     alone = dict(enumerate(community.partition(n, a, b, w, r, 42).tolist()))
     assert community.modularity(found, named, r) > 0.95 * community.modularity(alone, edges, r)
+
+
+def brute_paths(live, edges, seeds, most):
+    """All paths of one or two edges, in the order of the rule."""
+    near = {}
+    for k, (a, b, rel) in enumerate(edges):
+        near.setdefault(a, []).append((k, b, rel))
+        if a != b:
+            near.setdefault(b, []).append((k, a, rel))
+    best = {}
+    for s in seeds:
+        for k, m, rel in near.get(s, []):
+            for w, t, rels in [(1.0, m, [rel])] + [(0.5, t, [rel, r]) for k2, t, r in near.get(m, []) if k2 != k]:
+                if t in live and t != s:
+                    best[s, t] = min(best.get((s, t), (0, [])), (-w, rels))
+    order = sorted(best, key=lambda p: (best[p][0], p))[:most]
+    return [(s, t, -best[s, t][0], best[s, t][1]) for s, t in order]
+
+
+def test_paths_as_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for most, n, m in ((5, 14, 30), (30, 60, 90), (3, 8, 25)):
+        names = [f"n{i:02d}" for i in range(n)]
+        edges = [(names[a], names[b], "RST"[k]) for a, b, k in zip(rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 3, m))]
+        live = [x for x in names if rng.random() < 0.7]
+        seeds = live[:3]
+        e, r = tables(spark, [(x, "active" if x in live else "deprecated") for x in names], [(a, b, k, 1.0) for a, b, k in edges])
+        asked = spark.createDataFrame([("all", s, i) for i, s in enumerate(seeds)] + [("one", seeds[-1], 0)], "query_id string, name string, pos int")
+        got = graph.traverse(asked, e, r, EngineConfig(max_paths=most)).collect()
+        for q, own in (("all", seeds), ("one", seeds[-1:])):
+            found = sorted(((x.seed_name, x.name, x.hop_weight, x.rel_types) for x in got if x.query_id == q), key=lambda x: (-x[2], x[0], x[1]))
+            assert found == brute_paths(set(live), edges, own, most)
+
+
+def test_hub_in_the_middle(spark):
+    """A middle of 100,000 edges offers a bounded number of names."""
+    names = spark.range(100_000).select(F.format_string("x%06d", "id").alias("name"), F.lit("T").alias("type"), F.lit("active").alias("status"))
+    e = names.unionByName(spark.createDataFrame([("S", "T", "active"), ("H", "T", "deprecated")], "name string, type string, status string"))
+    r = names.select(F.concat(F.lit("e"), "name").alias("edge_id"), F.lit("H").alias("src_name"), F.lit("T").alias("src_type"), F.col("name").alias("dst_name"), F.col("type").alias("dst_type"), F.lit("R").alias("rel_type"))
+    r = r.unionByName(spark.createDataFrame([("e", "S", "T", "H", "T", "Q")], r.schema))
+    one = spark.createDataFrame([("q", "S", "T", "e", "H", "T", ["Q"])], "query_id string, s_name string, s_type string, edge_id string, b_name string, b_type string, rel_types array<string>")
+    live = e.filter("status = 'active'").select("name", "type")
+    near = spark.createDataFrame([("q", 0)], "query_id string, have int")
+    assert graph.second_hops(one, near, graph.both_ways(r), live, 30).count() == 61
+    got = graph.traverse(spark.createDataFrame([("q", "s", 0)], "query_id string, name string, pos int"), e, r).collect()
+    assert sorted(x.name for x in got) == [f"x{i:06d}" for i in range(30)] and all(x.rel_types == ["Q", "R"] for x in got)
