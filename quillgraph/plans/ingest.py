@@ -24,7 +24,7 @@ from quillgraph.sources.catalog import Catalog, settled, update
 
 
 def coref(chunks: DataFrame, providers: Providers, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Chunks with mentions inside them replaced, by a model that sees the chunk before; unchanged without a model."""
+    """Chunks with mentions inside them replaced, by a provider that sees the chunk before; unchanged without one. A chunk without text stays so."""
     if providers.coref is None:
         return chunks
     from pyspark.sql import Window
@@ -38,12 +38,12 @@ def coref(chunks: DataFrame, providers: Providers, config: EngineConfig = DEFAUL
             names = batch.schema.names
             made = []
             for prev, content, n in zip(*(batch.column(names.index(c)).to_pylist() for c in ("__before", "content", "token_count")), strict=True):
-                if n >= least:
+                if content is not None and n >= least:
                     for start, end, mention in sorted(resolve(prev, content), reverse=True):
                         if 0 <= start < end <= len(content) and len(content[start:end].split()) <= 3:
                             content = content[:start] + mention + content[end:]
                 made.append(content)
-            columns = [pa.array(made) if n == "content" else batch.column(i) for i, n in enumerate(names)]
+            columns = [pa.array(made, pa.string()) if n == "content" else batch.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return own.mapInArrow(run, own.schema).drop("__before")

@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.functions import coreference
 from quillgraph.functions.stemming import STOP_WORDS, stem
 from quillgraph.sources.files import page_markdown
 from quillgraph.sources.office import READERS
@@ -132,6 +133,6 @@ class Providers:
     hyde: Callable[[str], str] | None = None
     conflicts: Callable[[str, list[dict]], list[tuple[str, str]]] | None = None
     relevance: Callable | None = None
-    coref: Callable[[str, str], list[tuple[int, int, str]]] | None = None
+    coref: Callable[[str, str], list[tuple[int, int, str]]] | None = coreference.replacements
     transcribe: Callable[[bytes], str] | None = None
     summarise_community: Callable[[list[str], list[str]], str] = field(default=lambda names, kinds: f"{', '.join(names[:5])} ({', '.join(kinds)}).")
