@@ -200,16 +200,53 @@ def resolve_chunks(paths: DataFrame, seeds: DataFrame, entities: DataFrame, chun
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.graph_top_k)
 
 
+def _grams(column: str, size: int) -> Column:
+    """The distinct parts of ``size`` characters; none of a shorter text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(column) - size + 1, F.lit(1)))
+    return F.when(F.length(column) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(F.col(column), i, F.lit(size)))))
+
+
 def match_names(names: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, wanted, name, type): up to ``most`` active entities whose name contains the wanted one, in any case.
 
-    ``names`` come from one query's text, a handful of rows, so they are the side that is sent out.
+    ``names`` may be many: wanted names and entities meet by a part of three characters, of each wanted name the one that the fewest
+    entities have, and are then compared. A wanted name of one or two characters is its own part; an empty one is in every name, a null in none.
     """
-    live = entities.filter("status = 'active'").select("name", "type")
-    wanted = names.select("query_id", F.col("name").alias("wanted"))
-    found = live.join(F.broadcast(wanted), F.lower("name").contains(F.lower("wanted")))
-    order = Window.partitionBy("query_id", "wanted").orderBy("name", "type")
-    return found.withColumn("__turn", F.row_number().over(order)).filter(F.col("__turn") <= most).drop("__turn")
+    live = entities.filter("status = 'active' and name is not null").select("name", "type").withColumn("__low", F.lower("name"))
+    wanted = names.filter("name is not null").select("query_id", F.col("name").alias("wanted"), F.lower("name").alias("__key"))
+    keys = wanted.select("__key").distinct()
+    parts = F.concat(*[F.when(F.least(F.length("__key"), F.lit(3)) == n, _grams("__key", n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    asked = keys.filter("__key <> ''").select("__key", F.explode(parts).alias("__part"))
+    of_names = F.concat(*[F.coalesce(_grams("__low", n), F.array().cast("array<string>")) for n in (1, 2, 3)])
+    postings = live.select("name", "type", "__low", F.explode(of_names).alias("__part")).join(asked.select("__part").distinct(), "__part", "left_semi")
+    count = postings.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # A part that no entity has counts as the rarest, and rules its name out.
+    rarest = asked.join(count, "__part", "left").groupBy("__key").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__part")).alias("__best"))
+    found = rarest.select("__key", F.col("__best.__part").alias("__part")).join(postings, "__part").filter(F.contains("__low", "__key")).select("__key", "name", "type")
+    order = Window.partitionBy("__key").orderBy("name", "type")
+    found = found.withColumn("__turn", F.row_number().over(order)).filter(F.col("__turn") <= most).drop("__turn")
+    every = live.orderBy("name", "type").limit(most).select(F.lit("").alias("__key"), "name", "type")
+    return wanted.join(found.unionByName(every), "__key").select("query_id", "wanted", "name", "type")
+
+
+def find_seeds(near: DataFrame, wanted: DataFrame, entities: DataFrame, least: int = 2) -> DataFrame:
+    """(query_id, name, pos): the entities nearest to each query, and for queries with fewer than ``least`` also those named in it.
+
+    ``near`` has query_id, name and rank, ``wanted`` query_id and name. Named entities follow the near ones, by wanted name, name and type.
+    """
+    have = near.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("__have"))
+    poor = wanted.select("query_id").distinct().join(have, "query_id", "left").select("query_id", F.coalesce("__have", F.lit(0)).alias("__have")).filter(F.col("__have") < least)
+    named = match_names(wanted.join(poor, "query_id", "left_semi").distinct(), entities).join(poor, "query_id")
+    named = named.withColumn("pos", F.col("__have") + F.row_number().over(Window.partitionBy("query_id").orderBy("wanted", "name", "type")))
+    named = named.join(near.select("query_id", "name"), ["query_id", "name"], "left_anti")
+    return near.select("query_id", "name", F.col("rank").alias("pos")).unionByName(named.select("query_id", "name", "pos"))
+
+
+def search(near: DataFrame, wanted: DataFrame, entities: DataFrame, relationships: DataFrame, chunks: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seeds, paths and chunks of a batch of queries: entities by vector or by name, without hubs, what lies two edges around, its chunks."""
+    chosen = settled(choose_seeds(find_seeds(near, wanted, entities), entities, relationships, config))
+    paths = settled(traverse(chosen, entities, relationships, config))
+    return chosen, paths, settled(resolve_chunks(paths, chosen, entities, chunks, config))
 
 
 def community_info(entities: DataFrame, edges: DataFrame, by_source_only: bool = False) -> DataFrame:

@@ -92,20 +92,12 @@ class Engine:
         entities, edges = self.catalog.read("entities"), self.catalog.read("relationships")
         index = self.catalog.read("entity_embeddings").join(entities.filter("status = 'active'").select("name", "type"), ["name", "type"], "left_semi").filter("text is not null").groupBy("name").agg(F.min_by("text", "type").alias("text"))
         asked = self._vectors("query_id", [("q", self.providers.embed_query(query, c.sage_dims[0]))])
-        seeds = [(r["name"], r["rank"]) for r in retrieval.nearest(index, asked, c.seed_top_k, "name", "text", c.seed_cosine).orderBy("rank").collect()]
-        spark = self.catalog.spark
-        if len(seeds) < 2:
-            names = [e["name"] for e in self.providers.extract(query).get("entities", [])]
-            if names:
-                wanted = spark.createDataFrame([("q", n) for n in names], "query_id string, name string")
-                known = {n for n, _ in seeds}
-                seeds += [(r["name"], len(seeds) + i) for i, r in enumerate(graph.match_names(wanted, entities).orderBy("wanted", "name").collect(), 1) if r["name"] not in known]
-        if not seeds:
+        near = settled(retrieval.nearest(index, asked, c.seed_top_k, "name", "text", c.seed_cosine).select("query_id", "name", "rank"))
+        names = [] if near.count() >= 2 else [e["name"] for e in self.providers.extract(query).get("entities", [])]
+        wanted = self.catalog.spark.createDataFrame([("q", n) for n in names], "query_id string, name string")
+        chosen, paths, found = graph.search(near, wanted, entities, edges, scope, c)
+        if chosen.isEmpty():
             return None, []
-        rows = spark.createDataFrame([("q", n, p) for n, p in seeds], "query_id string, name string, pos int")
-        chosen = settled(graph.choose_seeds(rows, entities, edges, c))
-        paths = settled(graph.traverse(chosen, entities, edges, c))
-        found = settled(graph.resolve_chunks(paths, chosen, entities, scope, c))
         ids = [r["chunk_id"] for r in found.orderBy("rank").collect()]  # graph_top_k at most
         told = [{"entities": [r["seed_name"], r["name"]], "relationships": r["rel_types"], "confidence": r["hop_weight"], "source_chunks": ids} for r in paths.orderBy(F.desc("hop_weight"), "seed_name", "name").collect()]
         own = self._reranked(found.select("query_id", "chunk_id", "score", F.col("rank").alias("seq")), scope, query)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.config import EngineConfig
-from quillgraph.operators import community, entity_dedup, graph, graph_learning
+from quillgraph.operators import community, entity_dedup, graph, graph_learning, retrieval
 from quillgraph.plans.registry import query
 
 
@@ -95,6 +95,40 @@ def fuzzy_name_contains(t):
     return graph.match_names(names, _entities(t)).select("wanted", "name", "type")
 
 
+NEAR = f"""i AS (SELECT c_name AS name, embedding FROM embeddings JOIN customer ON c_custkey = vec_id + 1 WHERE c_custkey % 11 <> 0 UNION ALL SELECT s_name, embedding FROM embeddings JOIN supplier ON s_suppkey = vec_id + 1),
+ne AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS pos FROM (SELECT q.vec_id AS query_id, i.name, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN i ON true WHERE q.vec_id % 50 = 0) WHERE score > 0.75 QUALIFY pos <= 5),
+wa AS (SELECT vec_id AS query_id, lower(substr(n_name, 1, 4)) AS wanted FROM embeddings JOIN nation ON n_nationkey = vec_id % 25 WHERE vec_id % 50 = 0 UNION SELECT vec_id, 'supplier#00000000' || (vec_id // 50 % 9 + 1) FROM embeddings WHERE vec_id % 50 = 0),
+po AS (SELECT wa.*, (SELECT count(*) FROM ne WHERE ne.query_id = wa.query_id) AS have FROM wa),
+ma AS (SELECT query_id, wanted, have, name, type FROM po JOIN e ON contains(lower(e.name), wanted) AND status = 'active' WHERE have < 2 QUALIFY row_number() OVER (PARTITION BY query_id, wanted ORDER BY name, type) <= 3),
+se AS (SELECT query_id, name, pos FROM ne UNION ALL SELECT * FROM (SELECT query_id, name, have + row_number() OVER (PARTITION BY query_id ORDER BY wanted, name, type) AS pos FROM ma) m WHERE NOT EXISTS (SELECT 1 FROM ne WHERE ne.query_id = m.query_id AND ne.name = m.name)),
+sf AS (SELECT * FROM se QUALIFY row_number() OVER (PARTITION BY query_id, lower(name) ORDER BY pos) = 1),
+sd AS (SELECT sf.*, coalesce((SELECT max(n) FROM (SELECT b.a, b.at, count(*) AS n FROM b GROUP BY ALL) d JOIN e ON e.name = d.a AND e.type = d.at AND e.status = 'active' WHERE d.a = sf.name), 0) AS degree FROM sf),
+sh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY degree, pos) AS turn, bool_or(degree <= 15) OVER (PARTITION BY query_id) AS few FROM sd),
+s AS (SELECT query_id, name, pos FROM sh WHERE (few AND degree <= 15) OR (NOT few AND turn = 1))"""
+
+
+@query(f"""WITH {PATHS.replace(SEEDS, NEAR)}, q AS (SELECT h.query_id, unnest(e.docs) AS doc, e.idx, h.w FROM h JOIN e ON e.name = h.z AND e.type = h.zt WHERE p <= 30 AND e.idx IS NOT NULL
+ UNION ALL SELECT s.query_id, l.docs[1], l.idx, NULL FROM s JOIN l ON lower(l.name) = lower(s.name) WHERE l.idx IS NOT NULL AND s.query_id IN (SELECT h.query_id FROM h JOIN e ON e.name = h.z AND e.type = h.zt WHERE p <= 30 AND e.idx IS NOT NULL)),
+w AS (SELECT query_id, doc, idx, coalesce(max(w), 0.5) AS score FROM q GROUP BY query_id, doc, idx), c AS (SELECT CAST(doc_id % 100 AS VARCHAR) AS doc, CAST(doc_id // 100 AS BIGINT) AS idx, doc_id AS chunk_id FROM documents),
+r AS (SELECT w.query_id, c.chunk_id, w.score, row_number() OVER (PARTITION BY w.query_id ORDER BY score DESC, w.doc, w.idx) AS r FROM w JOIN c ON c.doc = w.doc AND c.idx = w.idx)
+SELECT x.query_id, x.seeds, coalesce(y.paths, 0) AS paths, r.chunk_id, CAST(r.score AS DOUBLE) AS score FROM (SELECT query_id, count(*) AS seeds FROM s GROUP BY query_id) x
+ LEFT JOIN (SELECT query_id, count(*) AS paths FROM h WHERE p <= 30 GROUP BY query_id) y ON y.query_id = x.query_id LEFT JOIN r ON r.query_id = x.query_id AND r.r <= 10""")
+def graph_search(t):
+    """Every vector whose id is divisible by 50 asks for entities of near vectors, or by parts of names, and for their chunks over the graph."""
+    entities, vecs = _entities(t), t("embeddings")
+    asked = vecs.filter("vec_id % 50 = 0")
+    live = entities.filter("status = 'active'").select("name")
+    own = t("customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") - 1).alias("vec_id")).unionByName(t("supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") - 1).alias("vec_id")))
+    index = vecs.join(own.join(live, "name", "left_semi"), "vec_id").select("name", "embedding")
+    near = retrieval.nearest(index, asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), 5, "name", above=0.75)
+    places = asked.join(t("nation"), F.col("n_nationkey") == F.col("vec_id") % 25).select(F.col("vec_id").alias("query_id"), F.lower(F.substring("n_name", 1, 4)).alias("name"))
+    firms = asked.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("supplier#00000000"), F.expr("vec_id div 50 % 9 + 1").cast("string")).alias("name"))
+    chunks = t("documents").select((F.col("doc_id") % 100).cast("string").alias("document_id"), F.expr("cast(doc_id div 100 as int)").alias("chunk_index"), F.col("doc_id").alias("chunk_id"))
+    seeds, paths, found = graph.search(near, places.unionByName(firms), entities, _edges(t), chunks)
+    counts = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("seeds")).join(paths.groupBy("query_id").agg(F.count(F.lit(1)).alias("paths")), "query_id", "left")
+    return counts.select("query_id", "seeds", F.coalesce("paths", F.lit(0)).alias("paths")).join(found.select("query_id", "chunk_id", "score"), "query_id", "left")
+
+
 def _mentions(t):
     """Names of orders' priorities and clerks as repeated mentions with varying spelling."""
     return t("orders").select(

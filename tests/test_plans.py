@@ -7,8 +7,8 @@ import pytest
 
 from quillgraph.plans import registry
 
-#: A query's few names against all entities, and a table of one row, are nested loops on purpose.
-NESTED = {"fuzzy_name_contains", "lex_bm25"}
+#: A table of one row is a nested loop on purpose.
+NESTED = {"lex_bm25"}
 
 
 def plan(df):
