@@ -21,6 +21,7 @@ from quillgraph.plans.service import Service
 from quillgraph.sources import files, office_files
 from quillgraph.sources.catalog import Catalog, settled
 from quillgraph.streaming import logs
+from quillgraph.streaming.versions import VERSION, version_stream
 
 
 def _catalog(df: DataFrame) -> Catalog:
@@ -209,6 +210,30 @@ def coref_of_chunks(t):
     return done.select(F.col("document_id").alias("conv_id"), F.col("chunk_index").cast("long").alias("turn"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
 
 
+@query("""WITH x AS (SELECT s_suppkey, replace(s_name, '#', ' ') || ' Corporation' AS c, n_name, CAST(s_suppkey % 7 AS VARCHAR) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s_suppkey, 0 AS turn, c || ' is located in ' || n_name || '.' AS content FROM x
+UNION ALL SELECT s_suppkey, 1, c || ' owes ' || k || ' dollars. Today ' || c || ' sold ' || c || ' shares to Mrs. Jane Doe' || k || '. Mrs. Jane Doe' || k || ' thanked ' || c || '.' FROM x
+UNION ALL SELECT s_suppkey, 2, 'Mrs. Jane Doe' || k || ' left. It rained.' FROM x""")
+def coref_of_suppliers(t):
+    """Pronouns, parts of names and definite nouns in three chunks about each supplier, replaced by the default rules."""
+    own = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    firm, k = F.concat(F.replace("s_name", F.lit("#"), F.lit(" ")), F.lit(" Corporation")), (F.col("s_suppkey") % 7).cast("string")
+    turns = [
+        F.concat(firm, F.lit(" is located in "), "n_name", F.lit(".")),
+        F.concat(F.lit("The corporation owes "), k, F.lit(" dollars. Today it sold its shares to Mrs. Jane Doe"), k, F.lit(". She thanked the company.")),
+        F.lit("She left. It rained."),
+    ]
+    rows = own.select("s_suppkey", F.posexplode(F.array(*turns)).alias("turn", "content")).select(F.col("s_suppkey").cast("string").alias("document_id"), "s_suppkey", F.col("turn").alias("chunk_index"), "content", F.lit(20).alias("token_count"))
+    return ingest.coref(rows, Providers()).select("s_suppkey", F.col("chunk_index").alias("turn"), "content")
+
+
+@query()
+def coref_of_conversations(t):
+    """Every turn with the mentions that the turn before or its own text explains, replaced by the default rules."""
+    rows = t("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("text").alias("content"), text.token_count("text").alias("token_count"))
+    return ingest.coref(rows, Providers()).select(F.col("document_id").alias("conv_id"), F.col("chunk_index").cast("long").alias("turn"), "content")
+
+
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE substr(text, 1, 20) END AS summary, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 0 ELSE 2 END AS keywords,
  round(greatest(0.0, 1 - (doc_id % 400) / 365.0), 4) AS freshness, CAST(2 AS INT) AS version FROM documents""")
 def enrich_chunks(t):
@@ -385,6 +410,27 @@ def log_rollup(t):
 
 # Listings and the catalog
 
+@query("""WITH k AS (SELECT source AS filename, sha256(arg_min(text, doc_id)) AS content_hash FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source),
+f AS (SELECT doc_id AS seq, source AS filename, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL AND source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
+SELECT filename, seq, content_hash, CASE WHEN filename IN (SELECT filename FROM k) THEN 3 ELSE 0 END + row_number() OVER (PARTITION BY filename ORDER BY seq) AS version FROM f WHERE content_hash NOT IN (SELECT content_hash FROM k)""")
+def version_by_stream(t):
+    """Documents arrive in two mixed batches; their versions come from keyed state, after three of each name that are known."""
+    d = t("documents").filter("text is not null and source is not null")
+    own = d.select(F.col("doc_id").alias("seq"), F.col("source").alias("filename"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.timestamp_seconds("doc_id").alias("at"))
+    known = d.groupBy(F.col("source").alias("filename")).agg(F.min_by("text", "doc_id").alias("text")).select("filename", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.lit(3).alias("version"))
+    ends = d.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("high")).first()
+    span = ends["high"] - ends["low"] + 1
+    spark = d.sparkSession
+    root = f"{_catalog(d).root}-stream"
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("seq"), F.lit("").alias("filename"), F.lit("").alias("content_hash"), F.timestamp_seconds(F.lit(ends["high"] + 2 * span)).alias("at"))
+    # Nothing is late, for the watermark stays behind the first file until one comes that follows all others.
+    for batch in (own.filter("seq % 2 = 0"), own.filter("seq % 2 = 1").unionByName(last)):
+        batch.write.mode("append").parquet(f"{root}/in")
+        told = version_stream(spark.readStream.schema(own.schema).parquet(f"{root}/in"), f"{span} seconds", known)
+        told.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(VERSION).parquet(f"{root}/out").filter("seq >= 0").select("filename", "seq", "content_hash", "version")
+
+
 @query("""WITH l AS (SELECT n_nationkey, n_regionkey AS k FROM nation UNION SELECT n_nationkey, n_nationkey % 5 FROM nation WHERE n_nationkey % 7 <> 0)
 SELECT n.n_name AS agent, coalesce((SELECT string_agg(r_name, ',' ORDER BY r_name) FROM l JOIN region ON r_regionkey = l.k WHERE l.n_nationkey = n.n_nationkey AND n.n_nationkey % 6 <> 0), '') AS categories FROM nation n""")
 def agents_listing(t):
