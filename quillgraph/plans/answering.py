@@ -145,7 +145,10 @@ class Engine:
             out.passes += 1
             if self.providers.conflicts is not None:
                 self._conflicts(out, gathered)
-            kept = list({r["chunk_id"]: r for r in reversed(gathered)}.values())[::-1][: c.context_chunks]
+            first: dict[str, dict] = {}
+            for r in gathered:
+                first.setdefault(r["chunk_id"], r)
+            kept = list(first.values())[: c.context_chunks]
             if plan["activate_calculator"]:
                 out.calculation = self.calculate(out.query, [r["content"] for r in kept])
             context = ""

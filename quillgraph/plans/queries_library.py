@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import EngineConfig
 from quillgraph.functions import text, vectors
 from quillgraph.operators import assembly, community, graph, graph_learning, listings, retrieval
-from quillgraph.plans import ingest
+from quillgraph.plans import batch, ingest
 from quillgraph.plans.answering import Engine
 from quillgraph.plans.providers import Providers
 from quillgraph.plans.queries_graph import EDGES, ENTITIES, MENTIONS, _edges, _entities, _mentions
@@ -526,3 +526,32 @@ def answer_batch(t):
     told = [engine.query(q) for q in ("list leave rules", "list leave rules", "compare the two")]
     rows = [(a.query, a.query_type, a.passes, a.cached, len(a.chunks)) for a in told]
     return d.sparkSession.createDataFrame(rows, "query string, query_type string, passes int, cached boolean, chunks int")
+
+
+@query("""WITH q AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'ANALYTICAL' ELSE 'GRAPH' END AS query_type, lower(CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'compare ' ELSE 'how is it connected: ' END || text) AS l FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, '[' || substr(CAST(doc_id AS VARCHAR), 1, 12) || '] (file: ' || source || ', section: ' || lang || ')' || chr(10) || substr(text, 1, 4096) AS entry, lower(text) AS l FROM documents WHERE text IS NOT NULL),
+a AS (SELECT item_id, query_type, list_transform(range(97, 123), lambda x: CAST(length(l) - length(replace(l, chr(x), '')) AS DOUBLE)) AS v FROM q),
+b AS (SELECT chunk_id, entry, list_transform(range(97, 123), lambda x: CAST(length(l) - length(replace(l, chr(x), '')) AS DOUBLE)) AS v FROM d),
+c AS (SELECT chunk_id, entry, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM b), e AS (SELECT chunk_id, entry, CAST(list_transform(v, lambda x: x / n) AS FLOAT[]) AS v FROM c WHERE n > 0),
+s AS (SELECT item_id, query_type, chunk_id, entry, row_number() OVER (PARTITION BY item_id ORDER BY list_cosine_similarity(a.v, CAST(e.v AS DOUBLE[])) DESC, chunk_id) AS rank FROM a, e)
+SELECT item_id, query_type, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids, substr(min(entry) FILTER (WHERE rank = 1), 1, 60) AS answer, query_type = 'SIMPLE' AS covered FROM s WHERE rank <= 10 GROUP BY item_id, query_type""")
+def answer_all_items(t):
+    """Every benchmark item as a question over all documents, in one batch; vectors count letters, so that SQL can follow them."""
+    d = t("documents").filter("text is not null")
+    catalog = _catalog(d)
+    key = F.col("doc_id").cast("string")
+    catalog.write("documents", d.select(key.alias("id"), F.col("source").alias("filename"), F.lit(1).alias("version"), F.lit("active").alias("status"), now().alias("ingested_at")))
+    catalog.write("chunks", d.select(key.alias("id"), key.alias("document_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("lang").alias("section_path"), F.lit(False).alias("has_table"), _metadata(catalog, F.lit("PARAGRAPH")).alias("metadata")))
+
+    def letters(column, dim):
+        low = F.lower(F.col(column) if isinstance(column, str) else column)
+        return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(x)), F.lit("")))).cast("double") for x in range(97, 123)])
+
+    embedded = catalog.read("chunks").select(F.col("id").alias("chunk_id"), letters("content", 26).alias("embedding"))
+    catalog.write("chunk_embeddings", embedded.withColumn("hybrid", vectors.query_hybrid("embedding", 26, 8)))
+    providers = Providers(embed=letters, answer=lambda query, context, calculation, history, prompt: context[:60])
+    engine = Engine(catalog, providers, EngineConfig(text_dim=26, part_dim=8), now())
+    opening = F.element_at(F.array(F.lit(""), F.lit("compare "), F.lit("how is it connected: ")), (F.col("item_id") % 3 + 1).cast("int"))
+    asked = t("benchmark").filter("text is not null").select(F.col("item_id").alias("query_id"), F.concat(opening, "text").alias("query"))
+    told = batch.answer_all(engine, asked)
+    return told.select(F.col("query_id").cast("long").alias("item_id"), "query_type", F.array_join("chunk_ids", ",").alias("chunk_ids"), "answer", "covered")
