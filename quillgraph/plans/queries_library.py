@@ -530,8 +530,8 @@ def answer_batch(t):
 
 @query("""WITH q AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'ANALYTICAL' ELSE 'GRAPH' END AS query_type, lower(CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'compare ' ELSE 'how is it connected: ' END || text) AS l FROM benchmark WHERE text IS NOT NULL),
 d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, '[' || substr(CAST(doc_id AS VARCHAR), 1, 12) || '] (file: ' || source || ', section: ' || lang || ')' || chr(10) || substr(text, 1, 4096) AS entry, lower(text) AS l FROM documents WHERE text IS NOT NULL),
-a AS (SELECT item_id, query_type, list_transform(range(97, 123), lambda x: CAST(length(l) - length(replace(l, chr(x), '')) AS DOUBLE)) AS v FROM q),
-b AS (SELECT chunk_id, entry, list_transform(range(97, 123), lambda x: CAST(length(l) - length(replace(l, chr(x), '')) AS DOUBLE)) AS v FROM d),
+a AS (SELECT item_id, query_type, list_transform(range(97, 123), lambda x: CAST(length(l) - length(replace(l, chr(CAST(x AS INT)), '')) AS DOUBLE)) AS v FROM q),
+b AS (SELECT chunk_id, entry, list_transform(range(97, 123), lambda x: CAST(length(l) - length(replace(l, chr(CAST(x AS INT)), '')) AS DOUBLE)) AS v FROM d),
 c AS (SELECT chunk_id, entry, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM b), e AS (SELECT chunk_id, entry, CAST(list_transform(v, lambda x: x / n) AS FLOAT[]) AS v FROM c WHERE n > 0),
 s AS (SELECT item_id, query_type, chunk_id, entry, row_number() OVER (PARTITION BY item_id ORDER BY list_cosine_similarity(a.v, CAST(e.v AS DOUBLE[])) DESC, chunk_id) AS rank FROM a, e)
 SELECT item_id, query_type, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids, substr(min(entry) FILTER (WHERE rank = 1), 1, 60) AS answer, query_type = 'SIMPLE' AS covered FROM s WHERE rank <= 10 GROUP BY item_id, query_type""")
