@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from quillgraph.operators import retrieval, vector_index
 from quillgraph.plans import registry
@@ -74,6 +76,23 @@ def test_within(spark, clusters):
     assert found == {(i, j) for i, v in brute(x, q, len(x), 0.9).items() for j, _ in v} and found
 
 
+def test_within_of_many_cells(spark, monkeypatch):
+    """Where no cell is ruled out a query is sent once to a group of cells, and in few rows at a time; values of ``same`` don't meet."""
+    monkeypatch.setattr(vector_index, "BLOCK", 60)
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(700, 12)), np.tile(rng.normal(size=12), (150, 1)), np.zeros((3, 12))])
+    kind = ["a" if i % 9 else "b" for i in range(len(x))]
+    rows = spark.createDataFrame([(i, [float(v) for v in row], k) for i, (row, k) in enumerate(zip(x, kind))], "id bigint, unit array<double>, kind string")
+    index = vector_index.build(rows, "id", "unit", same="kind")
+    found = {(r.query_id, r.id) for r in vector_index.within(index, rows.selectExpr("id as query_id", "unit as vec", "kind"), 0.5).collect()}
+    assert found == {(i, j) for i, v in brute(x, x, len(x), 0.5).items() for j, _ in v if kind[i] == kind[j]} and len(found) > 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(list(np.resize(x[:700], (3000, 12))), pa.list_(pa.float64())), pa.array(["a"] * 3000)], names=["query_id", "vec", "kind"])
+    sent = list(vector_index._sent(index.cells, T.LongType(), 0.5, vector_index._groups(index), "kind")(iter([batch])))
+    assert sum(b.num_rows for b in sent) <= 3000 * 2 * 853 / 60 and (index.cells.sizes > 0).sum() >= 25
+    planned = vector_index._plan(index.cells, T.LongType(), None, -1.0, True)(iter([batch]))
+    assert max(b.num_rows for b in planned) <= 4096
+
+
 def test_query(spark, sf_small):
     rows = registry.QUERIES["vec_index_topk"](spark, sf_small).collect()
     want = registry.QUERIES["vec_topk_cosine"](spark, sf_small).collect()
