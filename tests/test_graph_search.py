@@ -25,6 +25,14 @@ def test_match_names_equals_a_loop(spark):
     assert got == want and len(want) > 100
 
 
+def test_query_asks_for_short_parts_too(spark, sf_small):
+    from quillgraph.plans import registry
+
+    found = {(r.wanted, r.name) for r in registry.QUERIES["fuzzy_name_contains"](spark, sf_small).collect()}
+    nations = [r.n_name for r in spark.read.parquet(f"{sf_small}/nation.parquet").collect()]
+    assert all(any(w == part for w, _ in found) for n in nations for part in (n.lower(), n[:2].lower()))
+
+
 def test_match_names_of_nothing(spark):
     none = spark.createDataFrame([], "query_id long, name string")
     assert graph.match_names(none, entities(spark, ["a"])).count() == 0
