@@ -321,3 +321,18 @@ def test_hub_in_the_middle(spark):
     assert graph.second_hops(one, near, graph.both_ways(r), live, 30).count() == 61
     got = graph.traverse(spark.createDataFrame([("q", "s", 0)], "query_id string, name string, pos int"), e, r).collect()
     assert sorted(x.name for x in got) == [f"x{i:06d}" for i in range(30)] and all(x.rel_types == ["Q", "R"] for x in got)
+
+
+def test_translations_touch_what_moves(monkeypatch):
+    """A minibatch costs no more where the bucket holds more entities."""
+    import numpy as np
+
+    from quillgraph.operators import graph_learning as gl
+
+    rows, unit = [], gl._unit
+    monkeypatch.setattr(gl, "_unit", lambda x: rows.append(len(x)) or unit(x))
+    rng = np.random.default_rng(1)
+    triples = np.stack([rng.integers(0, 20_000, 5120), np.zeros(5120, int), rng.integers(0, 20_000, 5120)], 1)
+    ent, _ = gl._translate(rng.normal(size=(20_000, 4)), rng.normal(size=(1, 4)), triples, 2, gl.EngineConfig(), rng)
+    assert sum(rows) <= 20_000 * 3 + 2 * 4 * 5120
+    assert np.allclose(np.linalg.norm(ent, axis=1), 1)
