@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import tokens
+from quillgraph.functions.stemming import STOP_WORDS, stem
 from quillgraph.operators import retrieval, text_index
 
 
@@ -20,6 +23,36 @@ def test_blocks_as_exhaustive(spark, sf_mid):
     assert read < 0.75 * whole
 
 
+@pytest.mark.parametrize("english", [False, True])
+def test_matches_where_the_chunks_are(spark, monkeypatch, english):
+    """The chunks that a loop finds, in slices and blocks of any size, with ids that several chunks share, and no shuffle of words."""
+    deal = random.Random(4)
+    some = ["the", "Rains", "raining", "old", "houses", "house", "é", "12", "of"]
+    rows = [(deal.randrange(60), " ".join(deal.choice(some) for _ in range(deal.randrange(14)))) for _ in range(90)] + [(None, "old house"), (None, "rains"), (99, None), (98, ""), (97, "...")]
+    asked_of = {q: " ".join(deal.choice(some) for _ in range(deal.randrange(4))) for q in range(25)}
+    form = lambda w: (None if w in STOP_WORDS else stem(w)) if english else w
+    split = lambda x: [(i + 1, form(w)) for i, w in enumerate((x or "").lower().split()) if w != "..." and form(w)]
+    own = {}
+    for i, x in rows:
+        for at, w in split(x):
+            own.setdefault(i, {}).setdefault(w, []).append(at)
+    want = {(q, i): sorted(sorted(places[w]) for w in {w for _, w in split(x)}) for q, x in asked_of.items() for i, places in own.items() if split(x) and all(w in places for _, w in split(x))}
+    docs = spark.createDataFrame(rows, "chunk_id bigint, content string")
+    asked = retrieval.query_lexemes(spark.createDataFrame(list(asked_of.items()), "query_id bigint, text string"), english)
+    for words, pairs, size in ((1 << 20, 4 << 20, 16 << 20), (7, 40, 200)):
+        monkeypatch.setattr(retrieval, "SLICE_WORDS", words)
+        monkeypatch.setattr(retrieval, "SLICE_PAIRS", pairs)
+        monkeypatch.setattr(retrieval, "ASKED_BYTES", size)
+        found = retrieval.match_texts(docs, asked, english=english).collect()
+        assert {(r.query_id, r.chunk_id): sorted(sorted(p) for p in r.positions) for r in found} == want and len(found) == len(want) > 50
+        assert all(r.hits == sum(map(len, r.positions)) for r in found)
+        listed = retrieval.postings(docs, english=english).collect()
+        assert {(r.chunk_id, r.lexeme): list(r.positions) for r in listed} == {(i, w): sorted(p) for i, ws in own.items() for w, p in ws.items()} and len(listed) == sum(map(len, own.values()))
+    once = docs.dropDuplicates(["chunk_id"])
+    assert "Exchange" not in retrieval.postings(spark.range(5).selectExpr("id as chunk_id", "'a b' as content"))._jdf.queryExecution().executedPlan().toString()
+    assert {(r.chunk_id, r.lexeme) for r in retrieval.postings(once).collect()} == {(r.chunk_id, w.lower()) for r in once.collect() for w in (r.content or "").split() if w != "..."}
+
+
 @pytest.mark.parametrize("texts", [[], [None, "", "..."], ["a a b", "a", "c d", "b a", "a"]])
 def test_small_tables(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
