@@ -72,3 +72,24 @@ def test_token_counts(spark, sf_small):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own.encode_special_tokens = True
     assert found == {r.doc_id: len(own.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+
+
+def test_windows_hold_no_texts(spark):
+    """Context budgets and the digit gate sort lengths and flags; texts are brought together only where they fit."""
+    from quillgraph.operators import assembly
+
+    kind = "query_id bigint, chunk_id string, chunk_type string, score double, seq bigint, filename string, section_path string, content string"
+    rows = [(q, f"c{i}", "DEFINITION" if i == 40 else None, [0.5, None, float("nan"), 0.9][i % 4], i, None if i == 8 else "f", "s", "x" * (i * 7)) for q in (1, 2, None) for i in range(1, 60)]
+    own = spark.createDataFrame(rows, kind)
+    found = {(r.query_id, r.chunk_id): r.pos for r in assembly.ordered_context(own).collect()}
+    for q in (1, 2, None):
+        of = sorted((r for r in rows if r[0] == q), key=lambda r: (r[2] != "DEFINITION", r[3] is None, r[3] == r[3], -(r[3] or 0) if r[3] == r[3] else 0, r[4]))
+        used, want = 0, {}
+        for pos, r in enumerate(of, 1):
+            used += 0 if r[5] is None else len(f"[{r[1]}] (file: f, section: s)\n") + len(r[7]) + 2
+            if used - 2 <= 8192:
+                want[(q, r[1])] = pos
+        assert {k: v for k, v in found.items() if k[0] == q} == want
+    assert assembly.has_digits(own, order=(F.desc("score"), "chunk_id")).filter("not digits").count() == 3
+    plan = assembly.has_digits(own)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan.split("Window")[0] and "WindowGroupLimit" in plan
