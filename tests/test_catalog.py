@@ -91,3 +91,14 @@ def test_growth_and_vacuum(spark, own, monkeypatch):
     assert own.vacuum("messages", 1) == 1 and own.read("messages").count() == 51
     own.truncate("messages")
     assert own.read("messages").count() == 0
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, own, monkeypatch):
+    monkeypatch.setattr(module, "BUCKETS", 1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16384")
+    try:
+        own.write("messages", spark.range(0, 4000, 1, 8).select(F.col("id").cast("string").alias("id"), F.lit("user").alias("role"), F.sha2(F.col("id").cast("string"), 256).alias("content")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(pieces(own)) == 1 and len(own.read("messages").inputFiles()) > 4
+    assert own.read("messages").distinct().count() == 4000
