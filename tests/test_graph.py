@@ -323,6 +323,26 @@ def test_hub_in_the_middle(spark):
     assert sorted(x.name for x in got) == [f"x{i:06d}" for i in range(30)] and all(x.rel_types == ["Q", "R"] for x in got)
 
 
+def test_seeds_that_take_all_are_not_ranked(spark, monkeypatch):
+    """Seeds with one middle go as a whole where their query can't have too many paths, with the same rows."""
+    rng, chosen = np.random.default_rng(5), graph.second_hops
+    asked_for = []
+    monkeypatch.setattr(graph, "second_hops", lambda one, *rest: asked_for.append({r["s_name"] for r in one.collect()}) or chosen(one, *rest))
+    for most in (10**9, 40, 6):
+        names = [f"n{i:02d}" for i in range(40)]
+        edges = [(f"n{i:02d}", f"n{i % 4:02d}", "RST"[k]) for i, k in zip(range(40), rng.integers(0, 3, 40))] + [("n08", "n00", "A"), ("n09", "n02", "Q"), ("n10", "n10", "A"), ("n11", "n30", "S")]
+        live = [x for x in names if x not in ("n01", "n20")]
+        seeds = ["n08", "n09", "n10", "n11", "n13", "n30", "n03"]
+        e, r = tables(spark, [(x, "active" if x in live else "deprecated") for x in names], [(a, b, k, 1.0) for a, b, k in edges])
+        asked = spark.createDataFrame([("all", s, i) for i, s in enumerate(seeds)] + [(s, s, 0) for s in seeds], "query_id string, name string, pos int")
+        got = graph.traverse(asked, e, r, EngineConfig(max_paths=most)).collect()
+        for q, own in [("all", seeds)] + [(s, [s]) for s in seeds]:
+            found = sorted(((x.seed_name, x.name, x.hop_weight, x.rel_types) for x in got if x.query_id == q), key=lambda x: (-x[2], x[0], x[1]))
+            assert found == brute_paths(set(live), edges, own, most)
+    assert not asked_for[0] & {"n08", "n13"} and {"n09", "n11"} <= asked_for[0]
+    assert {"n08", "n13"} <= asked_for[2]
+
+
 def test_translations_touch_what_moves(monkeypatch):
     """A minibatch costs no more where the bucket holds more entities."""
     import numpy as np
