@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.operators import graph
 
@@ -25,6 +26,22 @@ def test_match_names_equals_a_loop(spark):
     assert got == want and len(want) > 100
 
 
+def shuffled(plan):
+    """Records that each exchange of an executed plan has written."""
+    found = [plan.metrics().get("shuffleRecordsWritten").get().value()] if plan.nodeName() == "Exchange" and plan.metrics().contains("shuffleRecordsWritten") else []
+    inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    return found + [n for x in inner for n in shuffled(x)]
+
+
+def test_parts_that_most_names_have_are_not_shuffled(spark):
+    own = spark.range(0, 4000, 1, 4).select(F.format_string("Customer#%09d", "id").alias("name"), F.lit("T").alias("type"), F.lit("active").alias("status"))
+    names = spark.createDataFrame([(1, "customer#000000007"), (2, "#000003999")], "query_id long, name string")
+    found = graph.match_names(names, own)
+    assert sorted((r.query_id, r.name) for r in found.collect()) == [(1, "Customer#000000007"), (2, "Customer#000003999")]
+    # Without that, each name went out once for each common part.
+    assert max(shuffled(found._jdf.queryExecution().executedPlan()), default=0) < 4000
+
+
 def test_query_asks_for_short_parts_too(spark, sf_small):
     from quillgraph.plans import registry
 
