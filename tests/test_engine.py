@@ -134,3 +134,22 @@ def test_merge_has_no_cap(spark, tmp_path):
     n = 10**6 + 7
     spark.range(n).selectExpr("if(id = 0, 0, id + 5) as vec_id", "array(1f, cast(id % 3 as float) / 10) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert registry.QUERIES["multi_query_merge"](spark, str(tmp_path)).count() == n
+
+
+def test_after_batch_broadcasts_no_nodes(spark, tmp_path, monkeypatch):
+    """Even a graph that is small as files is joined by shuffles, and the session is left as it was, whatever fails."""
+    name, plans = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(Ingestion, "communities", lambda self: 1 / 0)
+
+    def step(self):
+        own = spark.range(9)
+        joined = own.join(own, "id")
+        joined.collect()
+        plans.append(joined._jdf.queryExecution().executedPlan().toString())
+
+    for other in ("community_vectors", "graph_vectors", "hybrid_vectors"):
+        monkeypatch.setattr(Ingestion, other, step)
+    told = Ingestion(Catalog(spark, f"file://{tmp_path}/c")).after_batch()
+    assert told["communities"].startswith("skipped") and len(plans) == 3
+    assert not any("Broadcast" in p for p in plans) and spark.conf.get(name) == before
