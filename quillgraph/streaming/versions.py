@@ -8,9 +8,9 @@ Files therefore get the versions that ``operators.versions.track`` gives to the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,42 +18,44 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIRST = "content_hash string, seq long, filename string, at timestamp"
 VERSION = "filename string, version long, seq long, content_hash string, at timestamp"
+_EPOCH, _TOLD = datetime(1970, 1, 1, tzinfo=timezone.utc), Row("content_hash", "seq", "filename", "at")
+_COUNTED = Row("filename", "version", "seq", "content_hash", "at")
 
 
-def _millis(at) -> int:
+def _millis(micros: int) -> int:
     """A time in whole milliseconds, rounded up, so that a timer is never early."""
-    return -(-pd.Timestamp(at).value // 1_000_000)
+    return -(-micros // 1000)
 
 
 class FirstOfText(StatefulProcessor):
-    """Of the files of one text the earliest, by time and then ``seq``; a single row of state, however many copies come."""
+    """Of the files of one text the earliest, by time and then ``seq``; a single row of state, however many copies come.
+
+    Rows are plain ones, and a key is asked for its state once: most keys have a single file, for which a data frame each way costs far more.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "seq long, filename string, at timestamp, told boolean")
+        self.best = handle.getValueState("best", "seq long, filename string, micros long, told boolean")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         self.best.update((-1, None, None, True))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        have = self.best.get() if self.best.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        have = self.best.get()
         if have is not None and have[3]:
             return
-        best = None if have is None else (pd.Timestamp(have[2]), have[0], have[1])
-        for batch in rows:
-            own = batch.sort_values(["at", "seq"]).iloc[0]
-            best = min((x for x in (best, (own["at"], int(own["seq"]), own["filename"])) if x is not None), key=lambda x: x[:2])
-        if have is not None and _millis(have[2]) != _millis(best[0]):
-            self.handle.deleteTimer(_millis(have[2]))
-        if have is None or _millis(have[2]) != _millis(best[0]):
-            self.handle.registerTimer(_millis(best[0]))
-        self.best.update((best[1], best[2], best[0].to_pydatetime(), False))
+        first = min(((r["micros"], r["seq"], r["filename"]) for r in rows), key=lambda x: x[:2])
+        if have is None or first[:2] < (have[2], have[0]):
+            if have is not None:
+                self.handle.deleteTimer(_millis(have[2]))
+            self.handle.registerTimer(_millis(first[0]))
+            self.best.update((first[1], first[2], first[0], False))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, filename, at, _ = self.best.get()
-        self.best.update((seq, filename, at, True))
-        yield pd.DataFrame({"content_hash": [key[0]], "seq": [seq], "filename": [filename], "at": [pd.Timestamp(at)]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        seq, filename, micros, _ = self.best.get()
+        self.best.update((seq, filename, micros, True))
+        yield _TOLD(key[0], seq, filename, _EPOCH + timedelta(microseconds=micros))
 
     def close(self) -> None:
         pass
@@ -65,14 +67,16 @@ class CountVersions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.top = handle.getValueState("top", "version long")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.top.update((int(initialState["version"].max()),))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.top.update((initialState["version"],))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["at", "seq"])
-        top = self.top.get()[0] if self.top.exists() else 0
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        own = sorted(rows, key=lambda r: (r["at"], r["seq"]))
+        have = self.top.get()
+        top = 0 if have is None else have[0]
         self.top.update((top + len(own),))
-        yield own.assign(version=range(top + 1, top + len(own) + 1))[["filename", "version", "seq", "content_hash", "at"]]
+        for turn, r in enumerate(own, top + 1):
+            yield _COUNTED(r["filename"], turn, r["seq"], r["content_hash"], r["at"])
 
     def close(self) -> None:
         pass
@@ -93,5 +97,6 @@ def version_stream(files: DataFrame, late: str, known: DataFrame | None = None)
     if known is not None:
         texts = known.filter("content_hash is not null").select("content_hash").distinct().groupBy("content_hash")
         names = known.filter("filename is not null").groupBy("filename").agg(F.max("version").cast("long").alias("version")).groupBy("filename")
-    first = own.withWatermark("at", late).groupBy("content_hash").transformWithStateInPandas(FirstOfText(), FIRST, "Append", "EventTime", texts, "at")
-    return first.groupBy("filename").transformWithStateInPandas(CountVersions(), VERSION, "Append", "EventTime", names, "at")
+    own = own.withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
+    first = own.groupBy("content_hash").transformWithState(FirstOfText(), FIRST, "Append", "EventTime", texts, "at")
+    return first.groupBy("filename").transformWithState(CountVersions(), VERSION, "Append", "EventTime", names, "at")

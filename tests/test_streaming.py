@@ -4,10 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillgraph.operators import versions
-from quillgraph.streaming.versions import version_stream
+from quillgraph.streaming.versions import FirstOfText, version_stream
 
 FILES = "seq long, filename string, content_hash string, at timestamp"
 START = datetime(2024, 1, 1)
@@ -69,3 +70,46 @@ def test_order_within_the_delay_nulls_and_late_files(spark, tmp_path):
     ]
     got = run(spark, parts, tmp_path, late="60 seconds")
     assert {r for r in got if r[0] != "end"} == {("a", 1, 0, "y"), ("a", 2, 1, "x"), ("a", 3, 3, "w")}
+
+
+class Recorder:
+    """State and timers of one key, and the calls that were made."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_text_asks_for_its_state_once_a_batch():
+    """Rows are plain ones and calls are few, since most texts come once; data frames for each text took twice the time."""
+    row, state, own = Row("content_hash", "seq", "filename", "at", "micros"), Recorder(), FirstOfText()
+    own.init(state)
+    comes = lambda *rows: (state.calls.clear(), list(own.handleInputRows(("h",), iter([row("h", s, n, None, m) for s, n, m in rows]), None)), state.calls[:])[1:]
+    assert comes((7, "b", 5001), (6, "a", 5001), (1, "c", 9000)) == ([], ["get", "timer", "update"])
+    assert state.value == (6, "a", 5001, False) and state.timers == {6}
+    assert comes((8, "d", 5001)) == ([], ["get"])
+    assert comes((2, "e", 2000)) == ([], ["get", "timer", "update"]) and state.timers == {2}
+    (told,) = own.handleExpiredTimer(("h",), None, None)
+    assert (told["seq"], told["filename"], told["at"].timestamp()) == (2, "e", 0.002)
+    assert comes((0, "f", 1)) == ([], ["get"])
