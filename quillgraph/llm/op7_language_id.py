@@ -19,6 +19,7 @@ the result's are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ ROUNDING = 1e-5
 SLACK = 1.05
 UNKNOWN = "und"
 _CHUNK = 256
+#: Rows whose temporary arrays are held at once.
+_BLOCK = 32
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -59,33 +62,55 @@ def _counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts, dtype=np.float64) * idf
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    """The only large array made is the result: workers keep what the stages before have left in them."""
+    x = np.log1p(counts, dtype=np.float64)
+    x *= idf
+    for lo in range(0, len(x), _BLOCK):
+        some = x[lo : lo + _BLOCK]
+        some /= np.maximum(np.sqrt((some * some).sum(1, keepdims=True)), 1e-12)
+    return x
 
 
-def _sample_counts(table: pa.Table) -> np.ndarray:
+def _sample_counts(table: pa.Table) -> Iterator[np.ndarray]:
+    """Counts of the sample in order of doc_id, ``_BLOCK`` rows at most at a time."""
     table = table.sort_by("doc_id").combine_chunks()
-    found = [_counts(data, at) for b in table.to_batches() for _, data, at in slices(b)]
-    return np.concatenate(found)
+    for b in table.to_batches():
+        for _, data, at in slices(b):
+            for lo in range(0, len(at) - 1, _BLOCK):
+                own = at[lo : lo + _BLOCK + 1]
+                yield _counts(data[own[0] : own[-1]], own - own[0])
 
 
 def _document_counts(table: pa.Table) -> pa.Table:
-    seen = _sample_counts(table) > 0
-    return pa.table({"n": pa.array([len(seen)], pa.int64()), "df": pa.array([seen.sum(0).astype(np.float32).tobytes()], pa.binary())})
+    df = np.zeros(1 << BITS, np.int64)
+    for counts in _sample_counts(table):
+        df += (counts > 0).sum(0)
+    return pa.table({"n": pa.array([table.num_rows], pa.int64()), "df": pa.array([df.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _sum(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``x[which].sum(0)`` without the copy of the rows."""
+    out = np.zeros(x.shape[1])
+    for i in np.flatnonzero(which):
+        out += x[i]
+    return out
 
 
 def _spherical(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centroids after rounds of k-means from ``centre``, and the one of each row."""
     for _ in range(12):
         own = (x @ centre.T).argmax(1)
-        centre = np.stack([x[own == k].sum(0) if (own == k).any() else centre[k] for k in range(len(centre))])
+        centre = np.stack([_sum(x, own == k) if (own == k).any() else centre[k] for k in range(len(centre))])
         centre /= np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-12)
     return centre, (x @ centre.T).argmax(1)
 
 
 def _centroids(idf: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        x = _vectors(_sample_counts(table), idf)
+        x, lo = np.empty((table.num_rows, 1 << BITS)), 0
+        for counts in _sample_counts(table):
+            x[lo : lo + len(counts)] = _vectors(counts, idf)
+            lo += len(counts)
         # Seeds at even ranks of similarity to the mean, for the farthest texts are outliers.
         order = np.argsort(x @ x.mean(0), kind="stable")
         n = max(1, min(CLUSTERS, len(x) // LEAST_ROWS))

@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quillgraph.llm import op7_language_id as op
 
@@ -72,3 +74,17 @@ def test_own_centroid_is_kept(spark):
     got = op.annotate(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
     learned = {r.lang_pred for r in got}
     assert not any(r.rejected for r in got if r.lang in learned)
+
+
+def test_centroids_hold_one_array():
+    """Beside the vectors of a language's sample there are no arrays of their size."""
+    rnd = np.random.default_rng(2)
+    texts = ["".join(chr(97 + x) for x in rnd.integers(0, 26, 400)) for _ in range(op.SAMPLE_PER_LANGUAGE)]
+    table = pa.table({"doc_id": range(len(texts)), "lang": ["a"] * len(texts), "text": texts})
+    tracemalloc.start()
+    try:
+        op._centroids(np.ones(1 << op.BITS, np.float32))(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * 8 * len(texts) * (1 << op.BITS)
