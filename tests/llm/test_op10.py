@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -47,3 +48,34 @@ def test_coder():
 def test_crc_join():
     a, b = b"hello", b" world" * 99
     assert op.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_words_are_those_of_the_library():
+    rnd, words = random.Random(1), op.Words(op.default_tokenizer())
+    parts = [*"abs tdm lrev\'  \n\t 12!?.é中٣²\u00a0\u3000\u200b😀Ⅷ\u0301_ſ", "'s", "'ll", "'re", " '", "  ", "<|endoftext|>"]
+    texts = ["", "'", " ", "  ", "'s", "x's'", "a  ", "  a", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(3000))]
+    for some in (texts, texts[::-1]):  # the second time from what is remembered
+        want = words.tokenizer.encode_batch(some, add_special_tokens=False)
+        assert [x.tolist() for x in words.encode(some)] == [x.ids for x in want]
+
+
+def test_library_gets_a_word_once(monkeypatch):
+    words, asked = op.Words(op.default_tokenizer()), []
+    new = words._new
+    monkeypatch.setattr(words, "_new", lambda some: asked.extend(some) or new(some))
+    for _ in range(2):
+        words.encode(["one two one two", "two one"])
+    assert sorted(asked) == [" one", " two", "one", "two"]
+
+
+def test_coder_of_full_blocks():
+    """Blocks of distinct ids, and ids of 32 bits."""
+    blocks = [np.arange(2048, dtype=np.uint32) * 3, np.array([2**32 - 1, 0, 2**32 - 1], np.uint32)]
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(range_coder.encode(blocks)), strict=True))
+
+
+def test_crc_matrices_are_made_once():
+    op.crc32_joined(1, 2, 8191)
+    made = op._zero_bits.cache_info().misses
+    op.crc32_joined(3, 4, 8191)
+    assert op._zero_bits.cache_info().misses == made
